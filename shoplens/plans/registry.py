@@ -40,7 +40,9 @@ interactions AS (
   SELECT o_custkey AS user_id, l_partkey AS product_id, l_orderkey AS session_id, l_linenumber AS line,
     CASE l_returnflag WHEN 'N' THEN 'purchase' WHEN 'A' THEN 'add_to_cart' WHEN 'R' THEN 'view' END AS interaction_type,
     l_shipdate AS ts, CASE WHEN l_returnflag <> 'R' THEN CAST(1 + l_linenumber % 5 AS DOUBLE) END AS rating,
-    CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS total_amount
+    CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS total_amount,
+    CASE WHEN l_returnflag <> 'A' THEN CAST(l_suppkey % 300 AS INTEGER) END AS dwell_time,
+    CAST((l_partkey + l_suppkey) % 101 AS INTEGER) AS scroll_depth
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "clickstream": """
 clickstream AS (

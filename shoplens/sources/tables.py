@@ -138,6 +138,8 @@ class Shop:
             F.when(F.col("l_returnflag") != "R", (F.lit(1) + F.col("l_linenumber") % 5).cast("double")).alias("rating"),
             F.col("l_quantity").cast("int").alias("quantity"),
             F.col("l_extendedprice").alias("total_amount"),
+            F.when(F.col("l_returnflag") != "A", (F.col("l_suppkey") % 300).cast("int")).alias("dwell_time"),
+            ((F.col("l_partkey") + F.col("l_suppkey")) % 101).cast("int").alias("scroll_depth"),
         )
 
     @cached_property
