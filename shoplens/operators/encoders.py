@@ -7,25 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.ordered import dense_index
+from shoplens.functions.ordered import running
 from shoplens.functions.scalars import lookup
 from shoplens.schemas import AFFORDABLE_PRICE, DEVICES, FUNNEL, INCOME_CODE
+from shoplens.session import shared_folder
 
 
-def fit_labels(df: DataFrame, column: str) -> DataFrame:
-    """(column, code): position of every distinct value in ascending order, missing values as 'unknown'."""
-    filled = df.select(F.coalesce(F.col(column), F.lit("unknown")).alias(column))
-    return dense_index(filled, column, f"{column}_encoded")
+def fit_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code): position of every distinct value of each column in ascending order, missing as 'unknown'."""
+    values = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for c in columns])
+        ).alias("e")
+    ).select("e.*").distinct()
+    return running(values, ["value"], {"n": F.lit(1)}, by=["column"]).select(
+        "column", "value", (F.col("n") - 1).cast("long").alias("code")
+    )
 
 
 def apply_labels(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    known = labels.withColumnRenamed(column, "_value")
+    known = labels.where(F.col("column") == column).select(F.col("value").alias("_value"), F.col("code").alias(f"{column}_encoded"))
     return df.join(known, F.coalesce(F.col(column), F.lit("unknown")) == F.col("_value"), "left").drop("_value")
 
 
 def encode_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fits all columns in one pass and keeps the fitted labels in the shared folder, since every column reads them."""
+    shared_folder(df.sparkSession)
+    labels = fit_labels(df, columns).checkpoint()
     for column in columns:
-        df = apply_labels(df, fit_labels(df, column), column)
+        df = apply_labels(df, labels, column)
     return df
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoplens.functions.ordered import dense_index
 from shoplens.functions.scalars import dwell_band, price_tier, scroll_band
 from shoplens.operators import encoders as E
-from shoplens.operators.joins import attach_stats
 from shoplens.plans.registry import query
 from shoplens.sources import sinks
 
@@ -49,7 +47,7 @@ AS price_scaled FROM products JOIN {_label('category', 'products')} c USING (cat
 )
 def _(shop):
     folder = sinks.run_folder(shop.spark, "encoders")
-    E.fit_labels(shop.products, "category").write.parquet(f"{folder}/category")
+    E.fit_labels(shop.products, ["category"]).write.parquet(f"{folder}/category")
     E.fit_scaler(shop.products, ["price"]).write.parquet(f"{folder}/scaler")
     labels, fitted = shop.spark.read.parquet(f"{folder}/category"), shop.spark.read.parquet(f"{folder}/scaler")
     out = E.apply_scaler(E.apply_labels(shop.products, labels, "category"), fitted, ["price"])

@@ -10,7 +10,7 @@ from shoplens.operators import aggregates as A
 from shoplens.operators import baskets as B
 from shoplens.operators import joins as J
 from shoplens.operators.cleaning import rows_of
-from shoplens.plans.baskets import RULES, TOP_PARTNERS_SQL, top_partners, user_rules
+from shoplens.plans.baskets import LATEST, RULES, TOP_PARTNERS_SQL, latest_sessions, top_partners, user_rules
 from shoplens.plans.quality import CATEGORIES_SQL, categories
 from shoplens.plans.registry import query
 
@@ -76,7 +76,7 @@ def _(shop):
 
 @query(
     "d6_enriched_lists", "products interactions",
-    f"""WITH top AS ({TOP_PARTNERS_SQL.replace('WITH ', 'WITH ', 1)}) SELECT item_id, other_id, score, rank, name, category, brand, price,
+    f"""WITH top AS ({TOP_PARTNERS_SQL}) SELECT item_id, other_id, score, rank, name, category, brand, price,
 rating AS product_rating, substr(description, 1, 100) || '...' AS summary FROM top LEFT JOIN products ON product_id = other_id""",
 )
 def _(shop):
@@ -114,15 +114,19 @@ def _(shop):
 
 
 @query(
-    "d8_exclude_seen", "products interactions users",
-    """WITH c AS (SELECT user_id, product_id FROM users JOIN products ON category = preference_category WHERE size >= 45)
+    "d8_exclude_seen", "interactions",
+    f"""WITH {RULES}{LATEST},
+top AS (SELECT item_id, other_id, row_number() OVER (PARTITION BY item_id ORDER BY round(jaccard, 6) DESC, other_id) AS rank FROM rules
+        QUALIFY rank <= 10),
+c AS (SELECT DISTINCT basket AS user_id, other_id AS product_id FROM wanted JOIN top ON item_id = item)
 SELECT user_id, product_id FROM c WHERE NOT EXISTS
   (SELECT 1 FROM interactions i WHERE i.user_id = c.user_id AND i.product_id = c.product_id)""",
 )
 def _(shop):
-    candidates = shop.users.select("user_id", F.col("preference_category").alias("category")).join(
-        shop.products.where("size >= 45").select("product_id", "category"), "category"
-    ).select("user_id", "product_id")
+    """Companions of the items in each user's latest session that the user has never touched."""
+    candidates = latest_sessions(shop).join(top_partners(shop), F.col("item") == F.col("item_id")).select(
+        F.col("basket").alias("user_id"), F.col("other_id").alias("product_id")
+    ).distinct()
     return J.exclude_seen(candidates, shop.interactions, ["user_id", "product_id"])
 
 
