@@ -61,7 +61,7 @@ def md5_number(text: str, start: int = 1) -> str:
     return f"CAST('0x' || substr(md5({text}), {start}, 7) AS BIGINT)"
 
 
-@query("g6_random_split", "clickstream", f"SELECT event_id, {md5_number('''''||event_id||''|42''')} % 100 < 80 AS is_train FROM clickstream".replace("''''||", "").replace("''|42''", "'|42'"))
+@query("g6_random_split", "clickstream", f"""SELECT event_id, {md5_number("event_id || '|42'")} % 100 < 80 AS is_train FROM clickstream""")
 def _(shop):
     return O.random_split(shop.clickstream.select("event_id"), ["event_id"])
 

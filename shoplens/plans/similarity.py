@@ -35,11 +35,11 @@ idx AS (SELECT 'als' AS kind, * FROM ({_top('cosines', 50)}) WHERE score > 0
 
 @query(
     "k1_cosine_rows", "item_factors",
-    f"""WITH {COSINES} SELECT item_id AS id, count(*) AS pairs, round(sum(score), 5) AS total, min(score) AS low, max(score) AS high,
+    f"""WITH {COSINES} SELECT item_id AS id, count(*) AS pairs, round(sum(score), 6) AS total, min(score) AS low, max(score) AS high,
 count(*) FILTER (score <> 0) AS nonzero FROM cosines GROUP BY 1""",
 )
 def _(shop):
-    return S.cosine_rows(shop.item_factors).withColumn("total", F.round("total", 5))
+    return S.cosine_rows(shop.item_factors).withColumn("total", F.round("total", 6))
 
 
 @query("k1_most_similar", "item_factors", f"WITH {COSINES} {_top('cosines', 10)}")
