@@ -13,24 +13,42 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANGES = 64
 
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    """Timestamps compare as microseconds, so that boundaries survive the trip through the driver."""
+    kind = df.schema[name].dataType
+    return F.unix_micros(name) if isinstance(kind, T.TimestampType) else F.col(name)
+
+
 def assign_ranges(df: DataFrame, keys: Sequence[str], ranges: int = RANGES, name: str = "_range") -> DataFrame:
-    """Number of sampled boundaries below each row's key. The keys must identify a row.
+    """Number of sampled boundaries below each row's key. The keys must identify a row and not be null.
 
-    The sample holds the rows with the smallest key hashes (a bounded top-n), so boundaries depend only on the
-    data, never on the partitioning, and a recomputed task sees the same ones.
+    The sample holds the ``ranges - 1`` rows with the smallest key hashes (a bounded top-n, the only rows that reach
+    the driver), so boundaries depend on the data alone, never on the partitioning. They enter the plan as a
+    comparison tree that is compiled with the rest of the stage.
     """
-    key = F.struct(*[F.col(k) for k in keys])
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(ranges)
-    bounds = sample.agg(F.sort_array(F.collect_list("k")).alias("b")).scalar()
-    return (
-        df.withColumn("_bounds", bounds)
-        .withColumn(name, F.size(F.filter("_bounds", lambda b: b < key)))
-        .drop("_bounds")
-    )
+    columns = [_comparable(df, k) for k in keys]
+    names = [f"k{i}" for i in range(len(keys))]
+    sample = df.select(*[c.alias(n) for c, n in zip(columns, names)]).orderBy(F.xxhash64(*names), *names).limit(ranges - 1)
+    bounds = [tuple(row) for row in sample.orderBy(*names).collect()]
+
+    def above(bound: tuple) -> Column:
+        column, value = columns[len(keys) - len(bound)], F.lit(bound[0])
+        if len(bound) == 1:
+            return column > value
+        return (column > value) | ((column == value) & above(bound[1:]))
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(above(bounds[middle]), place(middle + 1, high)).otherwise(place(low, middle))
+
+    return df.withColumn(name, place(0, len(bounds)))
 
 
 def running(

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.ordered import dense_index, running
-from shoplens.functions.scalars import cosine, dot, norm, type_count, weekday_flags
+from shoplens.functions.scalars import dot, norm, weekday_flags
 from shoplens.operators.aggregates import engagement, popularity
 from shoplens.operators.encoders import category_code, income_code
 from shoplens.operators.joins import prefixed
 from shoplens.operators.ordering import hash_number
+from shoplens.session import shared_folder
 
 # fixed values: what a pair gets when a user, an item or its factors are unknown
 USER_DEFAULTS = {"avg_rating_given": 3.5, "category_diversity": 0.5, "avg_product_price": 500.0, "premium_ratio": 0.3}
@@ -149,7 +150,8 @@ def negatives(interactions: DataFrame, ratio: int = NEGATIVE_RATIO, tries: int =
         (hash_number(*parts, digits_from=1) % n_users).alias("user_idx"), (hash_number(*parts, digits_from=8) % n_items).alias("item_idx"),
     )
     drawn = placed.join(dense_index(seen, "user_id", "user_idx"), "user_idx").join(dense_index(seen, "product_id", "item_idx"), "item_idx")
-    fresh = drawn.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+    shared_folder(interactions.sparkSession)
+    fresh = drawn.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti").checkpoint()
     wanted = interactions.agg((F.count(F.lit(1)) * ratio).alias("n")).scalar()
     numbered = running(fresh, ["order", "u", "p", "copy"], {"_no": F.lit(1)}).where(F.col("_no") <= wanted)
     return numbered.select("user_id", "product_id", F.lit(0).alias("label"), F.lit(0.0).alias("rating"))
