@@ -140,3 +140,21 @@ def exact_quantiles(
 def exact_median(df: DataFrame, value: str) -> Column:
     """One-row scalar: the exact median of a column."""
     return exact_quantiles(df, value, {"median": 0.5}).select("median").scalar()
+
+
+def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """Adds the last non-null ``value`` at or before each row in the group's order.
+
+    Every range is scanned on its own and starts from the last value of the group's earlier ranges.
+    """
+    by, order = list(by), list(order)
+    ranged = assign_ranges(df, by + order, ranges)
+    position = F.struct(*[F.col(c) for c in order])
+    known = ranged.where(F.col(value).isNotNull()).groupBy(*by, "_range").agg(F.max_by(value, position).alias("_v"))
+    spans = ranged.select(*by, "_range").distinct().join(known, [*by, "_range"], "left")
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    start = spans.select(*by, "_range", F.last("_v", ignorenulls=True).over(earlier).alias("_start"))
+    inside = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
+    joined = local.join(start, [*by, "_range"])
+    return joined.select(*[F.col(c) for c in df.columns], F.coalesce("_local", "_start").alias(name))

@@ -67,6 +67,22 @@ def within_age(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
     return df.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def as_clickstream(events: DataFrame) -> DataFrame:
+    """Shop events, batch or stream; the source's 'signup' rows play the add-to-cart stage, every tenth dwell time is unknown."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return events.select(
+        "event_id",
+        "user_id",
+        k.alias("product_id"),
+        F.when(F.col("event_type") == "signup", "add_to_cart").otherwise(F.col("event_type")).alias("event_type"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_id") % 10 != 3, F.col("value")).alias("dwell_time"),
+        k.cast("double").alias("scroll_depth"),
+        F.element_at(F.array(*map(F.lit, schemas.DEVICES)), (F.col("event_id") % 3 + 1).cast("int")).alias("device_type"),
+        F.concat(F.lit("NATION_"), (F.col("user_id") % 25).cast("string")).alias("location"),
+    )
+
+
 class Shop:
     """The supplied tables of one folder, and the shop's relations derived from them."""
 
@@ -144,19 +160,7 @@ class Shop:
 
     @cached_property
     def clickstream(self) -> DataFrame:
-        """Shop events; the source's 'signup' rows play the add-to-cart stage, every tenth dwell time is unknown."""
-        k = F.get_json_object("props", "$.k").cast("long")
-        return self.table("events").select(
-            "event_id",
-            "user_id",
-            k.alias("product_id"),
-            F.when(F.col("event_type") == "signup", "add_to_cart").otherwise(F.col("event_type")).alias("event_type"),
-            "ts",
-            F.when(F.col("event_id") % 10 != 3, F.col("value")).alias("dwell_time"),
-            k.cast("double").alias("scroll_depth"),
-            F.element_at(F.array(*map(F.lit, schemas.DEVICES)), (F.col("event_id") % 3 + 1).cast("int")).alias("device_type"),
-            F.concat(F.lit("NATION_"), (F.col("user_id") % 25).cast("string")).alias("location"),
-        )
+        return as_clickstream(self.table("events"))
 
     @cached_property
     def metrics(self) -> DataFrame:
