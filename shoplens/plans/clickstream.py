@@ -143,11 +143,11 @@ f AS (SELECT k, n, total, coalesce(d, 0) AS d, coalesce(s, 0) AS s FROM v WHERE
 
 @query(
     "p13_running_means", "clickstream",
-    FOLD.format(key="user_id") + " SELECT k AS user_id, total AS total_views, round(d, 6) AS avg_dwell_time, round(s, 6) AS avg_scroll_depth FROM f WHERE n = total",
+    FOLD.format(key="user_id") + " SELECT k AS user_id, total AS total_views, round(d, 9) AS avg_dwell_time, round(s, 9) AS avg_scroll_depth FROM f WHERE n = total",
 )
 def _(shop):
     out = C.running_means(shop.clickstream)
-    return out.withColumns({c: F.round(c, 6) for c in ("avg_dwell_time", "avg_scroll_depth")})
+    return out.withColumns({c: F.round(c, 9) for c in ("avg_dwell_time", "avg_scroll_depth")})
 
 
 @query(
