@@ -142,15 +142,15 @@ def _(shop):
 
 
 ADMISSION = _alerts(5) + """,
-crit AS (SELECT alert_id, ts, CAST(epoch(ts) AS BIGINT) AS at, CASE metric_name WHEN 'latency_p95' THEN 'latency_breach' WHEN 'error_rate' THEN 'error_rate_spike'
+crit AS (SELECT alert_id, ts, CAST(epoch(ts) AS BIGINT) AS sec, CASE metric_name WHEN 'latency_p95' THEN 'latency_breach' WHEN 'error_rate' THEN 'error_rate_spike'
   ELSE 'ctr_degradation' END AS trigger, row_number() OVER (ORDER BY ts, alert_id) AS n FROM alerts WHERE severity = 'critical'),
 fold AS (
   SELECT 0::BIGINT AS n, -1000000::BIGINT AS a1, -1000000::BIGINT AS a2, -1000000::BIGINT AS a3, '' AS decision
   UNION ALL
-  SELECT c.n, CASE WHEN d = 'admitted' THEN c.at ELSE a1 END, CASE WHEN d = 'admitted' THEN a1 ELSE a2 END, CASE WHEN d = 'admitted' THEN a2 ELSE a3 END, d
-  FROM (SELECT c.n, c.at, f.a1, f.a2, f.a3, CASE WHEN c.at - f.a1 < 600 THEN 'cooldown' WHEN f.a3 >= c.at - 3600 THEN 'hourly_limit' ELSE 'admitted' END AS d
+  SELECT c.n, CASE WHEN d = 'admitted' THEN c.sec ELSE a1 END, CASE WHEN d = 'admitted' THEN a1 ELSE a2 END, CASE WHEN d = 'admitted' THEN a2 ELSE a3 END, d
+  FROM (SELECT c.n, c.sec, f.a1, f.a2, f.a3, CASE WHEN c.sec - f.a1 < 600 THEN 'cooldown' WHEN f.a3 >= c.sec - 3600 THEN 'hourly_limit' ELSE 'admitted' END AS d
         FROM fold f JOIN crit c ON c.n = f.n + 1) c),
-decisions AS (SELECT alert_id, ts, at, 'all' AS scope, trigger, decision FROM crit JOIN fold USING (n))"""
+decisions AS (SELECT alert_id, ts, sec, 'all' AS scope, trigger, decision FROM crit JOIN fold USING (n))"""
 
 
 def decisions(shop):
@@ -164,10 +164,10 @@ def _(shop):
 
 @query(
     "s11_rollback_statistics", "metrics clickstream",
-    f"""WITH RECURSIVE {ADMISSION}, e AS (SELECT *, CAST(epoch(TIMESTAMP '2024-01-31') AS BIGINT) - at AS age, decision = 'admitted' AS done FROM decisions),
+    f"""WITH RECURSIVE {ADMISSION}, e AS (SELECT *, CAST(epoch(TIMESTAMP '2024-01-31') AS BIGINT) - sec AS age, decision = 'admitted' AS done FROM decisions),
 t AS (SELECT trigger, count(*) AS n FROM e WHERE done GROUP BY 1)
 SELECT count(*) AS requests, count(*) FILTER (done) AS rollbacks, count(*) FILTER (done) / greatest(count(*), 1) * 100e0 AS admitted_pct,
-count(*) FILTER (done AND age <= 86400) AS rollbacks_last_24h, count(*) FILTER (done AND age <= 3600) AS rollbacks_last_hour, max(at) FILTER (done) AS last_rollback,
+count(*) FILTER (done AND age <= 86400) AS rollbacks_last_24h, count(*) FILTER (done AND age <= 3600) AS rollbacks_last_hour, max(sec) FILTER (done) AS last_rollback,
 (SELECT string_agg(trigger || ':' || n, ',' ORDER BY trigger) FROM t) AS by_trigger FROM e""",
 )
 def _(shop):

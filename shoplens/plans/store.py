@@ -109,13 +109,13 @@ def _(shop):
 count(*) FILTER (device_type = 'desktop') AS dk, count(*) FILTER (device_type = 'tablet') AS t FROM clickstream GROUP BY 1),
 s AS (SELECT user_id, count(*) AS session_count, avg({MINUTES}) AS a FROM sessions GROUP BY 1)
 SELECT user_id, view_count AS total_views, click_count AS total_clicks, add_to_cart_count AS total_adds_to_cart, purchase_count AS total_purchases,
-round(coalesce(d, 0), 9) AS avg_dwell_time, round(coalesce(s.a, 0), 9) AS avg_session_duration, round(coalesce(f.s, 0), 9) AS avg_scroll_depth, session_count,
+round(coalesce(d, 0), 9) AS avg_dwell_time, round(coalesce(s.a, 0), 6) AS avg_session_duration, round(coalesce(f.s, 0), 9) AS avg_scroll_depth, session_count,
 m AS device_preference_mobile, dk AS device_preference_desktop, t AS device_preference_tablet
 FROM c LEFT JOIN (SELECT * FROM f WHERE n = total) f ON f.k = user_id LEFT JOIN s USING (user_id)""",
 )
 def _(shop):
     out = T.online_user_features(shop.clickstream)
-    return out.withColumns({c: F.round(c, 9) for c in ("avg_dwell_time", "avg_scroll_depth", "avg_session_duration")})
+    return out.withColumns({c: F.round(c, 6 if "session" in c else 9) for c in ("avg_dwell_time", "avg_scroll_depth", "avg_session_duration")})
 
 
 @query(
