@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.blocks import listed_pairs, pair_counts, rank_rows
 from shoplens.schemas import BASKET_TYPES
+from shoplens.session import shared_folder
 
 
 def extract(interactions: DataFrame, types: list[str] | None = None, key: str = "user_id") -> DataFrame:
@@ -90,7 +91,8 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, largest: in
     n = baskets.agg(F.countDistinct("basket").alias("n")).first()["n"]
     needed = max(int(min_support * n), 1)
     frequent = frequencies(baskets).where(F.col("frequency") >= needed).select("item")
-    lists = baskets.join(frequent, "item", "left_semi").groupBy("basket").agg(F.collect_list("item").alias("items"))
+    shared_folder(baskets.sparkSession)
+    lists = baskets.join(frequent, "item", "left_semi").groupBy("basket").agg(F.collect_list("item").alias("items")).checkpoint()
     # MLlib multiplies minSupport by the rows it sees, the baskets that kept an item, and rounds up
     rows = lists.count()
     if rows == 0:

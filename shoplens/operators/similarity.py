@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.blocks import BLOCK_ROWS, DIGITS, best_matches, rank_rows, score_totals
 from shoplens.functions.scalars import cosine, unit
+from shoplens.session import shared_folder
 
 # fixed values
 EMBEDDING_WEIGHT, COPURCHASE_WEIGHT = 0.7, 0.3
@@ -130,7 +131,8 @@ class InvertedLists:
 
         units = unit_vectors(items)
         wanted = cells or max(1, min(100, items.count() // 10))
-        rows = units.withColumn("features", array_to_vector("vector"))
+        shared_folder(items.sparkSession)
+        rows = units.withColumn("features", array_to_vector("vector")).checkpoint()  # read once per iteration
         model = KMeans(k=wanted, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(rows)
         self.lists = model.transform(rows).select("id", "cell", "vector")
         # at most 100 centres

@@ -5,16 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "baskets", "cleaning", "quality", "joins", "aggregates", "encoding", "ordering", "similarity", "factors", "pairs",
-    "recommending", "clickstream", "store", "profiling", "monitoring", "models", "streams",
+    "cleaning", "quality", "joins", "aggregates", "encoding", "ordering", "baskets", "similarity", "factors", "pairs",
+    "models", "recommending", "clickstream", "streams", "store", "profiling", "monitoring",
 )
 
 
 def _load():
-    import os
     for module in MODULES:
-        if os.path.exists(os.path.join(os.path.dirname(__file__), module + ".py")):
-            import_module(f"shoplens.plans.{module}")
+        import_module(f"shoplens.plans.{module}")
     return import_module("shoplens.plans.registry")
 
 

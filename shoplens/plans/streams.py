@@ -123,7 +123,18 @@ def _(shop):
     f"""WITH {SESSIONS} SELECT user_id, {STAMP.format('session_start')} AS session_start, {STAMP.format('session_end')} AS session_end, events, purchases, dwell_time FROM sessions""",
 )
 def _(shop):
-    rows = updated(shop, S.user_sessions(S.watermarked(stream(shop))), ["user_id", "session_start"])
+    """Sessions leave the stream when the watermark has passed them, so one late closing event is sent at the end."""
+    folder = run_folder(shop.spark, "sessions")
+    events = shop.clickstream
+    events.write.parquet(f"{folder}/in/part=1")
+    found = S.user_sessions(S.watermarked(sources.parquet_events(shop.spark, f"{folder}/in", events.schema)))
+    sinks.append_table(found, folder)
+    closing = events.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).withColumn("user_id", F.lit(-1).cast("long"))
+    closing.select(*[F.col(f.name) if f.name in ("ts", "user_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(
+        f"{folder}/in/part=2"
+    )
+    sinks.append_table(found, folder)
+    rows = sinks.appended(shop.spark, folder)
     return stamped(rows, "session_start", "session_end").select("user_id", "session_start", "session_end", "events", "purchases", "dwell_time")
 
 
@@ -172,8 +183,12 @@ def _(shop):
     FOLD.format(key="user_id") + " SELECT k AS user_id, total AS total_views, round(d, 9) AS avg_dwell_time, round(s, 9) AS avg_scroll_depth FROM f WHERE n = total",
 )
 def _(shop):
-    S.use_rocksdb(shop.spark)
-    rows = updated(shop, S.running_means(stream(shop)), ["user_id"])
+    previous = shop.spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    S.use_rocksdb(shop.spark, bounded=True)
+    try:
+        rows = updated(shop, S.running_means(stream(shop)), ["user_id"])
+    finally:
+        shop.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", previous)
     return rows.withColumns({c: F.round(c, 9) for c in ("avg_dwell_time", "avg_scroll_depth")})
 
 

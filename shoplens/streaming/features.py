@@ -92,7 +92,11 @@ def running_means(events: DataFrame) -> DataFrame:
     )
 
 
-def use_rocksdb(spark) -> None:
+def use_rocksdb(spark, bounded: bool = False) -> None:
+    """State on local disk instead of the heap. A bounded run must not start batches without data, which processing
+    time would otherwise trigger for ever."""
+    if bounded:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
