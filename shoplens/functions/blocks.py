@@ -92,6 +92,10 @@ def best_matches(
     rounded to six digits and ties go to the smaller id, so the result does not depend on the blocks.
     """
     n_left, n_right = block_count(left, block_rows), block_count(right, block_rows)
+    if skip is not None:  # only pairs whose two sides are there matter
+        skip = skip.select("id", "other").join(left.select("id"), "id", "left_semi").join(
+            right.select(F.col("id").alias("other")), "other", "left_semi"
+        )
 
     def cell_best(pdf: pd.DataFrame) -> pd.DataFrame:
         found = _scores(pdf, cosine, skip_self)
