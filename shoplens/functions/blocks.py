@@ -15,12 +15,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1024
+from shoplens.session import shared_folder
+
+BLOCK_ROWS, SMALL_BLOCK = 2048, 128
+SALTS = 16
+CHUNK_BASKETS = 512
 DIGITS = 6
 
 
 def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
-    return max(1, math.ceil(df.count() / rows))
+    """Blocks of at most about ``rows`` rows, and enough of them that a grid of blocks occupies the whole cluster."""
+    n = df.count()
+    side = math.ceil(math.sqrt(df.sparkSession.sparkContext.defaultParallelism))
+    return max(1, math.ceil(n / rows), min(side, math.ceil(n / SMALL_BLOCK)))
 
 
 def _block(key: str, blocks: int):
@@ -159,25 +166,38 @@ def score_totals(left: DataFrame, right: DataFrame, cosine: bool, skip_self: boo
     )
 
 
+def with_sizes(baskets: DataFrame, basket: str, item: str, smallest: int = 1, largest: int | None = None) -> DataFrame:
+    """Distinct (basket, item) rows with the basket's number of items, for baskets within the given sizes.
+
+    Counts are combined in every task. They are joined back on the basket and a salt taken from the item, so a basket
+    with a third of all rows is spread over ``SALTS`` tasks.
+    """
+    sizes = baskets.groupBy(basket).agg(F.count(F.lit(1)).alias("basket_size")).where(F.col("basket_size") >= smallest)
+    if largest is not None:
+        sizes = sizes.where(F.col("basket_size") <= largest)
+    copies = sizes.withColumn("_salt", _copies(SALTS))
+    return baskets.withColumn("_salt", _block(item, SALTS)).join(copies, [basket, "_salt"]).drop("_salt")
+
+
 def pair_counts(baskets: DataFrame, basket: str, item: str, light: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Baskets that contain both items, for every unordered pair a < b: (a, b, together).
 
     ``baskets`` has distinct (basket, item) rows. Baskets of at most ``light`` items list their pairs, at most
     light*(light-1)/2 each. Larger ones are counted as a product of item blocks over chunks of baskets, so that a
-    basket of any size is spread over many tasks and only summed counts leave them.
+    basket of any size is spread over many tasks and only summed counts leave them. The sized rows are read several
+    times and therefore kept in the shared folder.
     """
-    sizes = baskets.groupBy(basket).agg(F.count(F.lit(1)).alias("_size"))
-    sized = baskets.join(sizes, basket)
-    return _light_pairs(sized.where(F.col("_size").between(2, light)), basket, item).unionByName(
-        _heavy_pairs(sized.where(F.col("_size") > light), sizes.where(F.col("_size") > light), basket, item, block_rows)
-    ).groupBy("a", "b").agg(F.sum("together").alias("together"))
+    shared_folder(baskets.sparkSession)
+    sized = with_sizes(baskets, basket, item, smallest=2).checkpoint()
+    listed = _light_pairs(sized.where(F.col("basket_size") <= light), basket, item)
+    product = _heavy_pairs(sized.where(F.col("basket_size") > light), basket, item, block_rows)
+    return listed.unionByName(product).groupBy("a", "b").agg(F.sum("together").alias("together"))
 
 
-def listed_pairs(baskets: DataFrame, basket: str, item: str, largest: int, smallest: int = 2) -> DataFrame:
-    """Pair counts over baskets whose size lies in [smallest, largest] only; others are ignored by definition."""
-    sizes = baskets.groupBy(basket).agg(F.count(F.lit(1)).alias("_size"))
-    kept = sizes.where(F.col("_size").between(max(smallest, 2), largest))
-    return _light_pairs(baskets.join(kept, basket), basket, item)
+def listed_pairs(sized: DataFrame, basket: str, item: str, largest: int, smallest: int = 2) -> DataFrame:
+    """Pair counts over baskets whose size (column basket_size) lies in [smallest, largest] only; others are ignored
+    by definition."""
+    return _light_pairs(sized.where(F.col("basket_size").between(max(smallest, 2), largest)), basket, item)
 
 
 def _light_pairs(baskets: DataFrame, basket: str, item: str) -> DataFrame:
@@ -187,13 +207,12 @@ def _light_pairs(baskets: DataFrame, basket: str, item: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
 
 
-def _heavy_pairs(rows: DataFrame, sizes: DataFrame, basket: str, item: str, block_rows: int) -> DataFrame:
-    counted = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_size"), F.lit(0)).alias("largest")).first()
-    if counted["n"] == 0:
+def _heavy_pairs(rows: DataFrame, basket: str, item: str, block_rows: int) -> DataFrame:
+    counted = rows.agg(F.countDistinct(basket).alias("baskets"), F.approx_count_distinct(item).alias("items")).first()
+    if counted["baskets"] == 0:
         return rows.sparkSession.createDataFrame([], "a long, b long, together long")
-    chunks = max(1, math.ceil(counted["n"] / 512))
-    n_items = rows.agg(F.approx_count_distinct(item)).first()[0]
-    blocks = max(1, math.ceil(n_items / block_rows))
+    chunks = max(1, math.ceil(counted["baskets"] / CHUNK_BASKETS))
+    blocks = max(1, math.ceil(counted["items"] / block_rows))
     keyed = rows.select(
         F.pmod(F.xxhash64(basket), F.lit(chunks)).cast("int").alias("chunk"), _block(item, blocks).alias("own"),
         F.col(basket).alias("basket"), F.col(item).alias("item"),

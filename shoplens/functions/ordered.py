@@ -8,6 +8,7 @@ of the ranges. Dense ids, exact quantiles, ordered splits and distribution dista
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGES = 64
+MIN_RANGES, MAX_RANGES = 64, 4096
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
@@ -24,20 +25,36 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return F.unix_micros(name) if isinstance(kind, T.TimestampType) else F.col(name)
 
 
-def assign_ranges(df: DataFrame, keys: Sequence[str], ranges: int = RANGES, name: str = "_range") -> DataFrame:
+def range_count(df: DataFrame) -> int:
+    """As many ranges as the cluster's shuffles have partitions, within bounds the driver can hold."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_RANGES, min(MAX_RANGES, partitions))
+
+
+def assign_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None, name: str = "_range") -> DataFrame:
     """Number of sampled boundaries below each row's key. The keys must identify a row and not be null.
 
     The sample holds the ``ranges - 1`` rows with the smallest key hashes (a bounded top-n, the only rows that reach
-    the driver), so boundaries depend on the data alone, never on the partitioning. They enter the plan as a
-    comparison tree that is compiled with the rest of the stage.
+    the driver), so boundaries depend on the data alone, never on the partitioning. Few boundaries become a
+    comparison tree that is compiled with the rest of the stage, many a literal array that is bisected.
     """
+    ranges = ranges or range_count(df)
     columns = [_comparable(df, k) for k in keys]
     names = [f"k{i}" for i in range(len(keys))]
-    sample = df.select(*[c.alias(n) for c, n in zip(columns, names)]).orderBy(F.xxhash64(*names), *names).limit(ranges - 1)
+    keyed = df.select(*[c.alias(n) for c, n in zip(columns, names)])
+    sample = keyed.orderBy(F.xxhash64(*names), *names).limit(ranges - 1)
     bounds = [tuple(row) for row in sample.orderBy(*names).collect()]
+    if len(bounds) < MIN_RANGES:
+        return df.withColumn(name, _tree(columns, bounds))
+    values = json.dumps([dict(zip(names, bound)) for bound in bounds])
+    literal = F.from_json(F.lit(values), T.ArrayType(keyed.schema))
+    key = F.struct(*[c.alias(n) for c, n in zip(columns, names)])
+    return df.withColumn(name, _bisect(literal, len(bounds), key))
 
+
+def _tree(columns: Sequence[Column], bounds: Sequence[tuple]) -> Column:
     def above(bound: tuple) -> Column:
-        column, value = columns[len(keys) - len(bound)], F.lit(bound[0])
+        column, value = columns[len(columns) - len(bound)], F.lit(bound[0])
         if len(bound) == 1:
             return column > value
         return (column > value) | ((column == value) & above(bound[1:]))
@@ -48,7 +65,18 @@ def assign_ranges(df: DataFrame, keys: Sequence[str], ranges: int = RANGES, name
         middle = (low + high) // 2
         return F.when(above(bounds[middle]), place(middle + 1, high)).otherwise(place(low, middle))
 
-    return df.withColumn(name, place(0, len(bounds)))
+    return place(0, len(bounds))
+
+
+def _bisect(bounds: Column, n: int, key: Column) -> Column:
+    """Steps of n/2, n/4, ..., 1, each taken if the boundary it reaches is below the key."""
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(n.bit_length()))])
+
+    def step(found: Column, width: Column) -> Column:
+        reached = found + width
+        return F.when((reached <= n) & (F.get(bounds, reached - 1) < key), reached).otherwise(found)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))
 
 
 def running(
@@ -57,7 +85,7 @@ def running(
     measures: Mapping[str, Column],
     by: Sequence[str] = (),
     totals: bool = False,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of every measure, per group, in the given order.
 
@@ -142,7 +170,7 @@ def exact_median(df: DataFrame, value: str) -> Column:
     return exact_quantiles(df, value, {"median": 0.5}).select("median").scalar()
 
 
-def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
+def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
     """Adds the last non-null ``value`` at or before each row in the group's order.
 
     Every range is scanned on its own and starts from the last value of the group's earlier ranges.

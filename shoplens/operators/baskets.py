@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoplens.functions.blocks import listed_pairs, pair_counts, rank_rows
+from shoplens.functions.blocks import listed_pairs, pair_counts, rank_rows, with_sizes
 from shoplens.schemas import BASKET_TYPES
 from shoplens.session import shared_folder
 
 
 def extract(interactions: DataFrame, types: list[str] | None = None, key: str = "user_id") -> DataFrame:
-    """Distinct (basket, item) rows of baskets with more than one item."""
+    """Distinct (basket, item, basket_size) rows of baskets with more than one item."""
     kept = (
         interactions.where(F.col("interaction_type").isin(types or BASKET_TYPES))
         .select(F.col(key).alias("basket"), F.col("product_id").alias("item"))
         .distinct()
     )
-    several = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("basket")
-    return kept.join(several, "basket", "left_semi")
+    return with_sizes(kept, "basket", "item", smallest=2)
 
 
 def frequencies(baskets: DataFrame) -> DataFrame:

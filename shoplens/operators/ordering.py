@@ -55,8 +55,18 @@ def random_split(df: DataFrame, keys: Sequence[str], seed: int = 42, train_perce
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if fewer), chosen by hash of a unique key; ranked over ranges, not in one task."""
+    """Exactly n rows (all, if fewer): those with the smallest hashes of a unique key.
+
+    Only rows below a hash limit expected to keep somewhat more than n are ranked, over ranges and not in one task;
+    should the limit keep too few, all rows are ranked.
+    """
     hashed = df.withColumn("_h", hash_number(F.col(key), F.lit(seed)))
+    total = df.count()
+    if total > n:
+        limit = int(16**7 * (n + 6 * n**0.5 + 10) / total) + 1
+        likely = hashed.where(F.col("_h") < limit)
+        if likely.count() >= n:
+            hashed = likely
     return running(hashed, ["_h", key], {"_no": F.lit(1)}).where(F.col("_no") <= n).drop("_h", "_no")
 
 

@@ -40,7 +40,7 @@ def user_rules(shop) -> DataFrame:
 
 @query("j1_baskets", "interactions", f"WITH {BASKETS} SELECT basket, item FROM baskets")
 def _(shop):
-    return user_baskets(shop)
+    return user_baskets(shop).select("basket", "item")
 
 
 @query("j2_item_frequency", "interactions", f"WITH {BASKETS} SELECT item, frequency FROM freq")

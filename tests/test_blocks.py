@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from shoplens.functions.blocks import best_matches, listed_pairs, pair_counts, score_totals
+from shoplens.functions.blocks import best_matches, listed_pairs, pair_counts, score_totals, with_sizes
 from shoplens.operators.similarity import InvertedLists, matches_in_cells, nearest, recall
 
 
@@ -91,7 +91,7 @@ def test_pair_counts_are_exact_for_large_baskets(spark):
 
 def test_listed_pairs_ignore_baskets_outside_the_size_range(spark):
     rows, df = baskets(spark)
-    got = {(r.a, r.b): r.together for r in listed_pairs(df, "basket", "item", largest=5, smallest=3).collect()}
+    got = {(r.a, r.b): r.together for r in listed_pairs(with_sizes(df, "basket", "item"), "basket", "item", largest=5, smallest=3).collect()}
     assert got == count_pairs(rows, lambda n: 3 <= n <= 5)
 
 

@@ -81,3 +81,12 @@ def test_carry_forward_across_ranges(spark):
         last = i if i % 50 == 10 else last
         assert got["a", i] == last
     assert all(got["b", i] is None for i in range(20))
+
+
+def test_many_ranges_are_bisected_like_few(spark):
+    df = spark.createDataFrame(rows_with_hot_group(), "g string, i long, v long")
+    got = [(r.g, r.i, r._range) for r in assign_ranges(df, ["g", "i"], 200).collect()]
+    numbers = [p[2] for p in sorted(got)]
+    assert numbers == sorted(numbers) and max(numbers) == 199
+    sums = {(r.g, r.i): r.upto for r in running(df, ["i"], {"upto": F.col("v")}, by=["g"], ranges=200).collect()}
+    assert sums == {(r.g, r.i): r.upto for r in running(df, ["i"], {"upto": F.col("v")}, by=["g"], ranges=5).collect()}
