@@ -43,12 +43,14 @@ checks AS (
     {'rule': 'columns', 'failures': 1}, {'rule': 'unique:interaction_id', 'failures': n},
     {'rule': 'in_set:interaction_type', 'failures': kind}, {'rule': 'between:rating', 'failures': rating},
     {'rule': 'between:quantity', 'failures': quantity}, {'rule': 'between:total_amount', 'failures': amount},
-    {'rule': 'between:dwell_time', 'failures': n}, {'rule': 'between:scroll_depth', 'failures': n}], recursive := true)
+    {'rule': 'between:dwell_time', 'failures': dwell}, {'rule': 'between:scroll_depth', 'failures': scroll}], recursive := true)
   FROM (SELECT count(*) AS n,
     count(*) FILTER (NOT coalesce(interaction_type IN ('view', 'click', 'add_to_cart', 'purchase', 'rating', 'review'), false)) AS kind,
     count(*) FILTER (NOT coalesce(rating BETWEEN 1 AND 5, true)) AS rating,
     count(*) FILTER (NOT coalesce(quantity >= 1, false)) AS quantity,
-    count(*) FILTER (NOT coalesce(total_amount >= 0.01, false)) AS amount FROM interactions)
+    count(*) FILTER (NOT coalesce(total_amount >= 0.01, false)) AS amount,
+    count(*) FILTER (NOT coalesce(dwell_time >= 0, false)) AS dwell,
+    count(*) FILTER (NOT coalesce(scroll_depth BETWEEN 0 AND 100, false)) AS scroll FROM interactions)
   UNION ALL
   SELECT 'categories', n, unnest([
     {'rule': 'columns', 'failures': 0}, {'rule': 'unique:category_id', 'failures': n - ids}, {'rule': 'between:level', 'failures': level}],

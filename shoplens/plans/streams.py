@@ -280,7 +280,7 @@ def _(shop):
     folder = run_folder(shop.spark, "callback")
     events = sources.parquet_events(shop.spark, f"{shop.folder}/events*.parquet", schemas.SUPPLIED["events"])
     failed = F.col("event_type") == "error"
-    samples = events.select(F.col("ts").cast("timestamp").alias("ts"), F.when(failed, "error").otherwise("latency_ms").alias("metric_name"))
+    samples = events.select("ts", F.when(failed, "error").otherwise("latency_ms").alias("metric_name"))
     rates = M.error_rates(M.in_windows(S.watermarked(samples), "60 minutes"), ["window_start"])
 
     def callback(df, batch):

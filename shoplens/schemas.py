@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 LONG, INT, DBL, STR, BOOL = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()
-TS, NTZ = T.TimestampType(), T.TimestampNTZType()
+TS = T.TimestampType()
 
 
 def struct(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in columns.items()])
 
 
-# --- the supplied tables -------------------------------------------------------------------------------
+# --- the supplied tables; their wall-clock times are read as UTC instants, so that time filters reach the scan -------------------------------------------------------------------------------
 SUPPLIED = {
     "region": struct(r_regionkey=INT, r_name=STR),
     "nation": struct(n_nationkey=INT, n_name=STR, n_regionkey=INT),
@@ -20,13 +20,13 @@ SUPPLIED = {
     "supplier": struct(s_suppkey=LONG, s_name=STR, s_nationkey=INT, s_acctbal=DBL),
     "part": struct(p_partkey=LONG, p_name=STR, p_brand=STR, p_type=STR, p_size=INT, p_retailprice=DBL),
     "orders": struct(
-        o_orderkey=LONG, o_custkey=LONG, o_orderstatus=STR, o_totalprice=DBL, o_orderdate=NTZ, o_orderpriority=STR
+        o_orderkey=LONG, o_custkey=LONG, o_orderstatus=STR, o_totalprice=DBL, o_orderdate=TS, o_orderpriority=STR
     ),
     "lineitem": struct(
         l_orderkey=LONG, l_partkey=LONG, l_suppkey=LONG, l_linenumber=INT, l_quantity=DBL, l_extendedprice=DBL,
-        l_discount=DBL, l_tax=DBL, l_returnflag=STR, l_linestatus=STR, l_shipdate=NTZ,
+        l_discount=DBL, l_tax=DBL, l_returnflag=STR, l_linestatus=STR, l_shipdate=TS,
     ),
-    "events": struct(event_id=LONG, ts=NTZ, user_id=LONG, event_type=STR, value=DBL, props=STR),
+    "events": struct(event_id=LONG, ts=TS, user_id=LONG, event_type=STR, value=DBL, props=STR),
     "documents": struct(doc_id=LONG, text=STR, lang=STR, source=STR, n_chars=LONG),
     "embeddings": struct(vec_id=LONG, embedding=T.ArrayType(T.FloatType()), label=INT),
     "labels": struct(doc_id=LONG, quality=INT, toxic=INT),

@@ -75,7 +75,7 @@ def as_clickstream(events: DataFrame) -> DataFrame:
         "user_id",
         k.alias("product_id"),
         F.when(F.col("event_type") == "signup", "add_to_cart").otherwise(F.col("event_type")).alias("event_type"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         F.when(F.col("event_id") % 10 != 3, F.col("value")).alias("dwell_time"),
         k.cast("double").alias("scroll_depth"),
         F.element_at(F.array(*map(F.lit, schemas.DEVICES)), (F.col("event_id") % 3 + 1).cast("int")).alias("device_type"),
@@ -91,9 +91,7 @@ class Shop:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        df = read_parquet(self.spark, f"{self.folder}/{name}.parquet", schemas.SUPPLIED.get(name))
-        wall_clock = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in wall_clock})
+        return read_parquet(self.spark, f"{self.folder}/{name}.parquet", schemas.SUPPLIED.get(name))
 
     @property
     def now(self) -> Column:
