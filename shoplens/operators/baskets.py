@@ -82,22 +82,47 @@ def top_partners(scores: DataFrame, k: int = 10, score: str = "score") -> DataFr
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, largest: int = 3) -> DataFrame:
     """Itemsets of up to ``largest`` items found in at least int(min_support * baskets) baskets, at least one.
 
-    Infrequent items are dropped before baskets become arrays: an average basket keeps at most
-    (mean basket size / min_support) distinct items in all, so no array can grow with the catalogue.
+    Level by level: a set of k items is counted only where its parts are frequent, by equi-joins of the occurrences
+    of its first k - 1 items with the baskets that hold the last one. (The library's FP-growth cannot stop at a size
+    and enumerates every larger set as well.)
     """
-    from pyspark.ml.fpm import FPGrowth
-
+    shared_folder(baskets.sparkSession)
     n = baskets.agg(F.countDistinct("basket").alias("n")).first()["n"]
     needed = max(int(min_support * n), 1)
-    frequent = frequencies(baskets).where(F.col("frequency") >= needed).select("item")
-    shared_folder(baskets.sparkSession)
-    lists = baskets.join(frequent, "item", "left_semi").groupBy("basket").agg(F.collect_list("item").alias("items")).checkpoint()
-    # MLlib multiplies minSupport by the rows it sees, the baskets that kept an item, and rounds up
-    rows = lists.count()
-    if rows == 0:
-        return lists.select("items", F.lit(0).cast("long").alias("freq")).where(F.lit(False))
-    model = FPGrowth(itemsCol="items", minSupport=(needed - 0.5) / rows, minConfidence=1.0).fit(lists)
-    return model.freqItemsets.where(F.size("items") <= largest).select(F.array_sort("items").alias("items"), "freq")
+    ones = frequencies(baskets).where(F.col("frequency") >= needed)
+    rows = baskets.select("basket", "item").join(ones.select("item"), "item", "left_semi").checkpoint()
+    out = ones.select(F.array("item").alias("items"), F.col("frequency").alias("freq"))
+    if largest < 2:
+        return out
+    twos = pair_counts(rows, "basket", "item").where(F.col("together") >= needed)
+    level = twos.select(F.array("a", "b").alias("items"), F.col("together").alias("freq")).checkpoint()
+    out = out.unionByName(level)
+    found = rows.select("basket", F.array("item").alias("items"))
+    candidates = level.select(F.slice("items", 1, 1).alias("items"), F.col("items")[1].alias("item"))
+    for size in range(3, largest + 1):
+        found = _occurrences(found, candidates, rows)
+        candidates = _candidates(level, size)
+        counted = _occurrences(found, candidates, rows).groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
+        level = counted.where(F.col("freq") >= needed).checkpoint()
+        out = out.unionByName(level)
+    return out
+
+
+def _candidates(level: DataFrame, size: int) -> DataFrame:
+    """Sets of ``size`` items whose first and last parts are frequent, as (items without the last, the last item)."""
+    prefix = F.slice("items", 1, size - 2)
+    left = level.select(prefix.alias("prefix"), F.element_at("items", -1).alias("last"), "items")
+    right = level.select(prefix.alias("prefix"), F.element_at("items", -1).alias("item"))
+    grown = left.join(right, "prefix").where(F.col("last") < F.col("item"))
+    tail = F.concat(F.slice("items", 2, size - 2), F.array("item"))
+    return grown.withColumn("tail", tail).join(level.select(F.col("items").alias("tail")), "tail", "left_semi").select("items", "item")
+
+
+def _occurrences(found: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """Baskets that hold a candidate, given those that hold its first items."""
+    return found.join(candidates, "items").join(rows, ["basket", "item"]).select(
+        "basket", F.concat("items", F.array("item")).alias("items")
+    )
 
 
 def profile(baskets: DataFrame, rules: DataFrame, k: int = 10) -> DataFrame:
