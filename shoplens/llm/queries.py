@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shoplens.llm import chat, licenses, mixing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,10 +27,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op4_reply_trees", chat.SQL)
+def _(spark, folder):
+    planted = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(planted, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_trees(chat.chain(turns)))
+
+
 @query("op5_token_counts")
 def _(spark, folder):
     import public_tokenizers
 
-    from shoplens.llm.tokens import token_counts
+    return tokens.token_counts(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
 
-    return token_counts(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+@query("op9_license_scan", licenses.SQL)
+def _(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op10_source_mix", mixing.SQL)
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("words"))
+    return mixing.mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken")
