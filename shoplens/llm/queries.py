@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import chat, licenses, mixing, tokens
+from shoplens.llm import chat, language, licenses, mixing, quality, tokens
+from shoplens.llm.common import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,18 @@ def _(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query("op6_quality_scores")
+def _(spark, folder):
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), Tables("quality"))
+
+
+@query("op8_language_id")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", F.coalesce(quality.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query("op9_license_scan", licenses.SQL)
 def _(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
