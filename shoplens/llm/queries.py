@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import chat, language, licenses, mixing, quality, tokens
+from shoplens.llm import chat, decontaminate, language, licenses, mixing, quality, tokens, topk
 from shoplens.llm.common import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_benchmark_leaks")
+def _(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op4_reply_trees", chat.SQL)
 def _(spark, folder):
     planted = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -48,6 +53,12 @@ def _(spark, folder):
     return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), Tables("quality"))
 
 
+@query("op7_exact_top_k", topk.SQL)
+def _(spark, folder):
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), topk.whole_numbers("embedding").alias("numbers"))
+    return topk.top_k(rows, rows.where("id % 50 = 0"), Tables("topk"))
+
+
 @query("op8_language_id")
 def _(spark, folder):
     docs = table(spark, folder, "documents")
