@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import chat, decontaminate, language, licenses, mixing, quality, tokens, topk
+from shoplens.llm import chat, decontaminate, jaccard, language, licenses, mixing, quality, tokens, topk
 from shoplens.llm.common import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_jaccard_join", jaccard.SQL)
+def _(spark, folder):
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 @query("op2_benchmark_leaks")
 def _(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
