@@ -1,12 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+A stage may delete the intermediate tables of the stage before it, whose result must be written by then.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shoplens.llm import decontaminate, jaccard, mixing, quality, suffix
+from shoplens.llm.common import Tables
+
+_LAST: list[Tables] = []
+
+
+def _tables(purpose: str) -> Tables:
+    while _LAST:
+        _LAST.pop().drop()
+    _LAST.append(Tables(purpose))
+    return _LAST[-1]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, labels, _tables("pipeline-quality"))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by n-gram Jaccard similarity the one with the smallest doc_id."""
+    return jaccard.keep_one(docs, _tables("pipeline-jaccard"))
+
+
+def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that stand elsewhere too; n_chars follows the text."""
+    cut = suffix.without_repeats(docs, _tables("pipeline-repeats"))
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("suffix-array dedup", no_repeated_passages),
+    ("benchmark decontamination", no_benchmark_items),
+    ("mixing sources to target weights", mixed),
+]
+# The classifier and the byte-wise stages have no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    written = Tables("pipeline")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = written.keep(f"stage-{number}", docs)
+            written.drop(f"stage-{number - 1}")
+    return docs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import LOWER, byte_slices, scatter, utf8, word_hashes, words
+from shoplens.llm.common import LOWER, Tables, byte_slices, scatter, utf8, word_hashes, words
 
 FEATURES = 256
 WIDTH = 4.0
@@ -210,7 +210,15 @@ def remainder(key: str, parts: int) -> Column:
     return (F.crc32(F.col(key).cast("string").cast("binary")) % parts).cast("int")
 
 
-def scored(docs: DataFrame, labels: DataFrame, tables, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def _learned(stats: DataFrame, labels: DataFrame, tables: Tables, key: str, label: str) -> Model | float:
+    known = labels.where(F.col(label).isin(0, 1) & (remainder(key, 3) != 1)).groupBy(F.col(key).alias("_key")).agg(F.avg(label).alias("y"))
+    labelled = stats.join(known, F.col(key) == F.col("_key")).select("statistics", "y", (remainder(key, 3) == 2).alias("calibrates"))
+    model = fit(tables.keep("labelled", labelled))
+    tables.drop("labelled")
+    return model
+
+
+def scored(docs: DataFrame, labels: DataFrame, tables: Tables, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """key, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5) of every row.
 
     Held out are keys whose crc32 modulo 3 is 1; of the others remainder 0 fits the weights and 2 the calibration. Labels
@@ -220,10 +228,7 @@ def scored(docs: DataFrame, labels: DataFrame, tables, key: str = "doc_id", text
     the mean label (0.5 with no labels). Columns other than key, text and label are not read.
     """
     stats = tables.keep("statistics", measured(docs, key, text))
-    known = labels.where(F.col(label).isin(0, 1) & (remainder(key, 3) != 1)).groupBy(F.col(key).alias("_key")).agg(F.avg(label).alias("y"))
-    labelled = stats.join(known, F.col(key) == F.col("_key")).select("statistics", "y", (remainder(key, 3) == 2).alias("calibrates"))
-    model = fit(tables.keep("labelled", labelled))
-    tables.drop("labelled")
+    model = _learned(stats, labels, tables, key, label)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -234,3 +239,18 @@ def scored(docs: DataFrame, labels: DataFrame, tables, key: str = "doc_id", text
     rows = stats.select(F.col(key).alias("_key"), F.coalesce(remainder(key, 3) == 1, F.lit(False)).alias("held_out"), "statistics")
     kind = rows.schema["_key"].dataType.simpleString()
     return rows.mapInPandas(run, f"_key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("_key", key)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, tables: Tables, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The input's rows and columns without the rows that scored() predicts as 0; no row moves."""
+    stats = tables.keep("statistics", measured(docs, key, text))
+    model = _learned(stats, labels, tables, key, label)
+    tables.drop("statistics")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, text):
+                score = np.full(len(part), model) if isinstance(model, float) else model.score(statistics(*utf8(part[text])))
+                yield part.filter(pa.array(score >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
