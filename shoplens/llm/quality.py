@@ -156,7 +156,8 @@ def _sums(frame: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
         for part in parts:
             for line, sums in zip(part["line"], part["sums"]):
                 found[line] = found[line] + sums if line in found else np.array(sums)
-        yield pd.DataFrame({"line": list(found), "sums": list(found.values())}, columns=["line", "sums"])
+        if found:
+            yield pd.DataFrame({"line": list(found), "sums": list(found.values())})
 
     schema = "line int, sums array<double>"
     rows = frame.mapInPandas(partition, schema).repartition("line").mapInPandas(merge, schema).collect()  # width rows
