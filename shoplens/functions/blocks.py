@@ -217,8 +217,9 @@ def _heavy_pairs(rows: DataFrame, basket: str, item: str, block_rows: int) -> Da
         F.pmod(F.xxhash64(basket), F.lit(chunks)).cast("int").alias("chunk"), _block(item, blocks).alias("own"),
         F.col(basket).alias("basket"), F.col(item).alias("item"),
     )
-    # a row of block x takes part in the cells (x, y) and (y, x) with lb <= rb
-    cells = keyed.select("*", _copies(blocks).alias("opposite")).select(
+    # a row of block x takes part in the cells of x with the blocks that its basket has items in
+    present = keyed.select("basket", F.col("own").alias("opposite")).distinct()
+    cells = keyed.join(present, "basket").select(
         "chunk", F.least("own", "opposite").alias("lb"), F.greatest("own", "opposite").alias("rb"), "own", "basket", "item"
     )
 

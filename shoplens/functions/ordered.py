@@ -109,7 +109,7 @@ def running(
     local = ranged
     for name in measures:
         local = local.withColumn(f"_l_{name}", F.sum(f"_m_{name}").over(inside))
-    joined = local.join(offsets, [*by, "_range"])
+    joined = _same_group(local, offsets, [*by, "_range"])
     extra = [F.col(f"{n}_total") for n in measures] if totals else []
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -118,6 +118,15 @@ def running(
     )
 
 
+def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the keys where null equals null; the left side's keys stay."""
+    there = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(there[f"_r_{k}"])
+    return left.join(there, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
     """0-based position of every distinct non-null key in ascending order."""
     distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
@@ -179,10 +188,10 @@ def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     ranged = assign_ranges(df, by + order, ranges)
     position = F.struct(*[F.col(c) for c in order])
     known = ranged.where(F.col(value).isNotNull()).groupBy(*by, "_range").agg(F.max_by(value, position).alias("_v"))
-    spans = ranged.select(*by, "_range").distinct().join(known, [*by, "_range"], "left")
+    spans = _same_group(ranged.select(*by, "_range").distinct(), known, [*by, "_range"], "left")
     earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     start = spans.select(*by, "_range", F.last("_v", ignorenulls=True).over(earlier).alias("_start"))
     inside = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
-    joined = local.join(start, [*by, "_range"])
+    joined = _same_group(local, start, [*by, "_range"])
     return joined.select(*[F.col(c) for c in df.columns], F.coalesce("_local", "_start").alias(name))

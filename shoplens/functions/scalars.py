@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def exact_sum(column: Column | str) -> Column:
-    """Sum of money amounts as decimals, so that the result does not depend on the order of addition."""
+    """Sum as decimals with nine digits after the point, so that the result does not depend on the order of addition."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.sum(column.cast("decimal(18,2)")).cast("double")
+    return F.sum(column.cast("decimal(38,9)")).cast("double")
 
 
 def exact_mean(column: Column | str) -> Column:

@@ -29,9 +29,12 @@ def basket_total(baskets: DataFrame) -> Column:
     return baskets.agg(F.countDistinct("basket").alias("n")).scalar()
 
 
-def cooccurrence(baskets: DataFrame, smallest: int = 2, largest: int = 50) -> DataFrame:
-    """Unordered pair counts (a < b) over baskets of the given sizes; other baskets do not count by definition."""
-    return listed_pairs(baskets, "basket", "item", largest, smallest)
+def cooccurrence(baskets: DataFrame, smallest: int = 2, largest: int | None = None) -> DataFrame:
+    """Unordered pair counts (a < b) over baskets of at least ``smallest`` items. A caller may set an upper size; larger
+    baskets then do not count by definition."""
+    if largest is not None:
+        return listed_pairs(baskets, "basket", "item", largest, smallest)
+    return pair_counts(baskets.where(F.col("basket_size") >= smallest).select("basket", "item"), "basket", "item")
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

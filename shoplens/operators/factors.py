@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shoplens.functions.ordered import dense_index
 from shoplens.functions.scalars import dot, norm
 from shoplens.session import shared_folder
 
@@ -52,16 +53,20 @@ def fit_als(matrix: DataFrame, rank: int = RANK, iterations: int = ITERATIONS, r
     centred = rated.withColumn("r", F.col("value") - overall)
     user_bias = centred.groupBy("user_id").agg(F.avg("r").alias("user_bias"))
     item_bias = centred.join(user_bias, "user_id").groupBy("product_id").agg(F.avg(F.col("r") - F.col("user_bias")).alias("item_bias"))
-    residual = centred.join(user_bias, "user_id").join(item_bias, "product_id").select(
-        F.col("user_id").cast("int"), F.col("product_id").cast("int"),
+    # The trainer takes int ids only, so both sides are numbered first.
+    user_index, item_index = dense_index(rated, "user_id", "user_no"), dense_index(rated, "product_id", "item_no")
+    residual = centred.join(user_bias, "user_id").join(item_bias, "product_id").join(user_index, "user_id").join(item_index, "product_id").select(
+        F.col("user_no").cast("int"), F.col("item_no").cast("int"),
         (F.col("r") - F.col("user_bias") - F.col("item_bias")).cast("float").alias("residual"),
     )
     model = ALS(
-        rank=rank, maxIter=iterations, regParam=regularisation, seed=seed, userCol="user_id", itemCol="product_id",
+        rank=rank, maxIter=iterations, regParam=regularisation, seed=seed, userCol="user_no", itemCol="item_no",
         ratingCol="residual", coldStartStrategy="drop", checkpointInterval=5,
     ).fit(residual)
-    users = model.userFactors.select(F.col("id").cast("long").alias("user_id"), F.col("features").alias("user_vector")).join(user_bias, "user_id")
-    items = model.itemFactors.select(F.col("id").cast("long").alias("product_id"), F.col("features").alias("item_vector")).join(item_bias, "product_id")
+    users = model.userFactors.select(F.col("id").cast("long").alias("user_no"), F.col("features").alias("user_vector"))
+    items = model.itemFactors.select(F.col("id").cast("long").alias("item_no"), F.col("features").alias("item_vector"))
+    users = users.join(user_index, "user_no").join(user_bias, "user_id").select("user_id", "user_vector", "user_bias")
+    items = items.join(item_index, "item_no").join(item_bias, "product_id").select("product_id", "item_vector", "item_bias")
     mean = rated.agg(F.avg("value").alias("global_bias"))
     return users, items, mean
 

@@ -156,7 +156,7 @@ def season_and_share(interactions: DataFrame, products: DataFrame) -> DataFrame:
     monthly = interactions.groupBy("product_id", F.month("ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     busiest = monthly.groupBy("product_id").agg(F.sum("n").alias("n"), (F.max("n") / (F.sum("n") / F.lit(12.0))).alias("seasonal_trend"))
     known = products.select("product_id", "category", "price").join(busiest, "product_id", "left").fillna(0, subset=["n", "seasonal_trend"])
-    shares = known.groupBy("category").agg(F.sum("n").alias("category_n"))
-    return known.join(shares, "category").select(
+    shares = known.groupBy(F.col("category").alias("_category")).agg(F.sum("n").alias("category_n"))
+    return known.join(shares, F.col("category").eqNullSafe(F.col("_category"))).select(
         "product_id", price_tier(F.col("price")).alias("price_tier"), "seasonal_trend", (F.col("n") / F.col("category_n")).alias("category_popularity")
     )

@@ -47,7 +47,11 @@ def summary(metrics: DataFrame, by: list[str]) -> DataFrame:
         F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(F.lit(0.0)).alias("std"),
     )
     medians = exact_quantiles(metrics, "metric_value", {"median": 0.5}, by=by).drop("n_values")
-    return basic.join(medians, by)
+    there = medians.withColumnsRenamed({k: f"_m_{k}" for k in by})
+    same = F.lit(True)
+    for k in by:
+        same = same & basic[k].eqNullSafe(there[f"_m_{k}"])
+    return basic.join(there, same).drop(*[f"_m_{k}" for k in by])
 
 
 def error_rates(metrics: DataFrame, by: list[str]) -> DataFrame:

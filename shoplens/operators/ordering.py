@@ -13,6 +13,7 @@ from shoplens.functions.ordered import exact_quantiles, running
 # fixed values: the percentiles that are reported, and the sample size they need
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 MIN_SAMPLE = 10
+HASH_DIGITS = 15
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
@@ -46,8 +47,8 @@ def ordered_split(df: DataFrame, order: Sequence[str], train_share: float = 0.8)
 
 
 def hash_number(*parts: Column, digits_from: int = 1) -> Column:
-    """A non-negative number below 16**7, uniform over rows and independent of the partitioning."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), digits_from, 7), 16, 10).cast("long")
+    """A non-negative number below 2**60, uniform over rows and independent of the partitioning; digits_from is 1 to 18."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), digits_from, HASH_DIGITS), 16, 10).cast("long")
 
 
 def random_split(df: DataFrame, keys: Sequence[str], seed: int = 42, train_percent: int = 80) -> DataFrame:
@@ -63,7 +64,7 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     hashed = df.withColumn("_h", hash_number(F.col(key), F.lit(seed)))
     total = df.count()
     if total > n:
-        limit = int(16**7 * (n + 6 * n**0.5 + 10) / total) + 1
+        limit = int(16**HASH_DIGITS * ((n + 6 * n**0.5 + 10) / total)) + 1
         likely = hashed.where(F.col("_h") < limit)
         if likely.count() >= n:
             hashed = likely
@@ -84,15 +85,16 @@ def recent_categories(interactions: DataFrame, products: DataFrame, n: int = 10,
 
 
 def nearest_percentiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sorted value number floor(q*n) for each reported percentile; groups of at most ten values have none."""
-    return exact_quantiles(df, value, PERCENTILES, by, nearest=True).where(F.col("n_values") > MIN_SAMPLE)
+    """Sorted value number floor(q*n) for each reported percentile; for groups of at most ten values they are null."""
+    found = exact_quantiles(df, value, PERCENTILES, by, nearest=True)
+    return found.withColumns({p: F.when(F.col("n_values") > MIN_SAMPLE, F.col(p)) for p in PERCENTILES})
 
 
 def list_changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that only one of two lists holds."""
-    added = after.select(*keys).join(before.select(*keys), list(keys), "left_anti").withColumn("change", F.lit("added"))
-    removed = before.select(*keys).join(after.select(*keys), list(keys), "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    """Rows that only one of two lists holds, from one full join."""
+    old, new = before.select(*keys, F.lit(1).alias("_old")), after.select(*keys, F.lit(1).alias("_new"))
+    both = old.join(new, list(keys), "full").where(F.col("_old").isNull() | F.col("_new").isNull())
+    return both.select(*keys, F.when(F.col("_old").isNull(), "added").otherwise("removed").alias("change"))
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:

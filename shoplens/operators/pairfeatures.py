@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,9 @@ FACTOR_DEFAULTS = {
     "als_score": 0.0, "embedding_cosine": 0.0, "user_embedding_norm": 1.0, "item_embedding_norm": 1.0,
     "user_top_factor": 0.0, "item_top_factor": 0.0,
 }
+ITEM_DEFAULTS = {
+    "price": 0.0, "item_rating": 0.0, "review_count": 0, "popularity_score": 0.0, "engagement_score": 0.0, "conversion_rate": 0.0, "brand_popularity": 0.0,
+}
 NEGATIVE_RATIO = 2
 
 
@@ -55,9 +59,9 @@ def item_block(products: DataFrame, interactions: DataFrame) -> DataFrame:
         F.count_if(F.col("interaction_type") == "view").alias("viewed"),
     )
     known = products.join(stats, "product_id", "left").fillna(0, subset=["n", "avg_rating", "rated", "bought", "viewed"])
-    brands = known.groupBy("brand").agg(F.sum("n").alias("brand_n"))
+    brands = known.groupBy(F.col("brand").alias("_brand")).agg(F.sum("n").alias("brand_n"))
     total = interactions.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return known.join(brands, "brand").select(
+    return known.join(brands, F.col("brand").eqNullSafe(F.col("_brand"))).select(
         "product_id", "price", F.col("rating").alias("item_rating"), "review_count", "category",
         popularity(F.col("n"), F.col("avg_rating"), F.col("rated")).alias("popularity_score"),
         F.coalesce(engagement(F.col("dwell"), F.col("scroll")), F.lit(0.0)).alias("engagement_score"),
@@ -114,8 +118,10 @@ def request_time(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def pair_table(pairs: DataFrame, user_features: DataFrame, item_features: DataFrame, user_factors: DataFrame, item_factors: DataFrame, as_of: Column) -> DataFrame:
-    """All features of every given (user_id, product_id) row; other columns of ``pairs`` are kept."""
-    joined = pairs.join(user_features, "user_id").join(item_features, "product_id")
+    """All features of every given (user_id, product_id) row; other columns of ``pairs`` are kept. Users and items without
+    features get the defaults; their age, income, category and its code stay null."""
+    joined = pairs.join(user_features, "user_id", "left").join(item_features, "product_id", "left")
+    joined = joined.fillna({"total_interactions": 0, **USER_DEFAULTS, **ITEM_DEFAULTS})
     return request_time(factor_features(compatibility(joined), user_factors, item_factors), as_of)
 
 
@@ -132,31 +138,42 @@ def positives(interactions: DataFrame) -> DataFrame:
     return interactions.select("user_id", "product_id", F.lit(1).alias("label"), F.coalesce("rating", F.lit(0.0)).alias("rating"))
 
 
-def negatives(interactions: DataFrame, ratio: int = NEGATIVE_RATIO, tries: int = 10, seed: int = 42) -> DataFrame:
+def negatives(interactions: DataFrame, ratio: int = NEGATIVE_RATIO, seed: int = 42) -> DataFrame:
     """ratio * interactions uniform (user, item) pairs that never interacted; repeats are possible.
 
-    A draw is a hash of an interacting pair and a copy number, so each task makes its own draws and a repeated task
-    repeats them. Twice the wanted number is drawn (at most ``tries`` times it is useful) and surplus draws are cut
-    by position over ranges.
+    Draw number i is a hash of i and the seed, so a repeated task makes the same draws. As many are drawn as the share of
+    free pairs asks for, with ten standard deviations to spare, and more if that should not do; surplus draws are cut by
+    position over ranges. Raises if every pair interacted. Counts the pairs and draws while the plan is built.
     """
-    seen = interactions.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
-    copies = min(2, tries) * ratio
-    n_users = seen.agg(F.countDistinct("user_id").alias("n")).scalar()
-    n_items = seen.agg(F.countDistinct("product_id").alias("n")).scalar()
-    draws = seen.select("user_id", "product_id", F.explode(F.sequence(F.lit(1), F.col("n") * copies)).alias("copy"))
-    parts = (F.col("user_id"), F.col("product_id"), F.col("copy"), F.lit(seed))
-    placed = draws.select(
-        hash_number(*parts, digits_from=15).alias("order"), F.col("user_id").alias("u"), F.col("product_id").alias("p"), "copy",
-        (hash_number(*parts, digits_from=1) % n_users).alias("user_idx"), (hash_number(*parts, digits_from=8) % n_items).alias("item_idx"),
-    )
-    drawn = placed.join(dense_index(seen, "user_id", "user_idx"), "user_idx").join(dense_index(seen, "product_id", "item_idx"), "item_idx")
-    shared_folder(interactions.sparkSession)
-    fresh = drawn.join(seen.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti").checkpoint()
-    wanted = interactions.agg((F.count(F.lit(1)) * ratio).alias("n")).scalar()
-    numbered = running(fresh, ["order", "u", "p", "copy"], {"_no": F.lit(1)}).where(F.col("_no") <= wanted)
+    spark = interactions.sparkSession
+    shared_folder(spark)
+    seen = interactions.select("user_id", "product_id").distinct()
+    sizes = seen.agg(F.countDistinct("user_id"), F.countDistinct("product_id"), F.count(F.lit(1))).first()
+    n_users, n_items, n_seen = sizes
+    wanted = interactions.count() * ratio
+    if wanted and n_seen >= n_users * n_items:
+        raise ValueError("every user interacted with every item: there is no pair to draw")
+    users, items = dense_index(seen, "user_id", "user_idx"), dense_index(seen, "product_id", "item_idx")
+    tries = draw_count(wanted, n_users * n_items, n_seen)
+    while True:
+        at = (F.col("draw"), F.lit(seed))
+        placed = spark.range(1, tries + 1).withColumnRenamed("id", "draw").withColumns(
+            {"user_idx": hash_number(*at) % F.lit(max(n_users, 1)), "item_idx": hash_number(*at, digits_from=17) % F.lit(max(n_items, 1))}
+        )
+        drawn = placed.join(users, "user_idx").join(items, "item_idx").select("draw", "user_id", "product_id")
+        fresh = drawn.join(seen, ["user_id", "product_id"], "left_anti").checkpoint()
+        if fresh.count() >= wanted:
+            break
+        tries *= 2
+    numbered = running(fresh, ["draw"], {"_no": F.lit(1)}).where(F.col("_no") <= wanted)
     return numbered.select("user_id", "product_id", F.lit(0).alias("label"), F.lit(0.0).alias("rating"))
 
 
+def draw_count(wanted: int, pairs: int, seen: int) -> int:
+    """Draws after which ``wanted`` of them fall on free pairs, but for ten standard deviations."""
+    return math.ceil((wanted + 10 * math.sqrt(wanted) + 100) * pairs / (pairs - seen)) if wanted else 0
+
+
 def training_samples(interactions: DataFrame, ratio: int = NEGATIVE_RATIO) -> DataFrame:
     return positives(interactions).unionByName(negatives(interactions, ratio))
 

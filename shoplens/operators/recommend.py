@@ -93,15 +93,19 @@ def decayed_popularity(interactions: DataFrame, as_of: Column, half_life_days: f
 
 
 def cold_start(users: DataFrame, interactions: DataFrame, products: DataFrame, as_of: Column, min_history: int = 1, k: int = 10) -> DataFrame:
-    """For users with less than ``min_history`` interactions: the k most popular items of their preferred category,
-    or of the whole shop when they have none. Only k rows per category meet the users."""
-    popular = decayed_popularity(interactions, as_of).join(products.select("product_id", "category"), "product_id")
-    best = first_rows(popular, ["category"], [F.col("score").desc(), F.col("product_id")], k)
-    everywhere = popular.orderBy(F.col("score").desc(), "product_id").limit(k)
-    overall = first_rows(everywhere.withColumn("category", F.lit("*")), ["category"], [F.col("score").desc(), F.col("product_id")], k)
-    lists = best.unionByName(overall)
-    active = interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_history)
-    cold = users.select("user_id", F.coalesce("preference_category", F.lit("*")).alias("category")).join(active, "user_id", "left_anti")
+    """For users with less than ``min_history`` interactions: the k most popular items of their preferred category, filled
+    up from the whole shop when it has fewer or there is none. Lists are made per category; only k rows of each meet the users."""
+    popular = decayed_popularity(interactions, as_of).join(products.select("product_id", F.col("category").alias("own")), "product_id")
+    order = [F.col("score").desc(), F.col("product_id")]
+    best = first_rows(popular.where(F.col("own").isNotNull()), ["own"], order, k).select(F.col("own").alias("category"), "product_id", "score", F.lit(0).alias("_fill"))
+    everywhere = popular.orderBy(*order).limit(k).agg(F.collect_list(F.struct("product_id", "score", "own")).alias("top")).scalar()
+    cold = users.select("user_id", F.coalesce("preference_category", F.lit("*")).alias("category"))
+    cold = cold.join(interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_history), "user_id", "left_anti")
+    wanted = cold.select("category").distinct()
+    fill = wanted.select("category", F.explode(everywhere).alias("t")).where(~F.col("category").eqNullSafe(F.col("t.own")))
+    fill = fill.select("category", "t.product_id", "t.score", F.lit(1).alias("_fill"))
+    lists = best.join(wanted, "category", "left_semi").unionByName(fill)
+    lists = first_rows(lists, ["category"], [F.col("_fill"), *order], k).drop("_fill")
     return cold.join(lists, "category")
 
 

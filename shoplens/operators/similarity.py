@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -130,12 +132,12 @@ class InvertedLists:
         from pyspark.ml.functions import array_to_vector
 
         units = unit_vectors(items)
-        wanted = cells or max(1, min(100, items.count() // 10))
+        wanted = cells or max(1, round(math.sqrt(items.count())))
         shared_folder(items.sparkSession)
         rows = units.withColumn("features", array_to_vector("vector")).checkpoint()  # read once per iteration
         model = KMeans(k=wanted, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(rows)
         self.lists = model.transform(rows).select("id", "cell", "vector")
-        # at most 100 centres
+        # as many centres as the square root of the items
         centres = [(int(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         self.centres = items.sparkSession.createDataFrame(centres, "id long, vector array<double>")
 

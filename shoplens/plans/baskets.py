@@ -15,8 +15,7 @@ sizes AS (SELECT basket, count(*) AS n FROM kept GROUP BY 1 HAVING count(*) > 1)
 baskets AS (SELECT basket, item FROM kept JOIN sizes USING (basket)),
 freq AS (SELECT item, count(*) AS frequency FROM baskets GROUP BY 1)"""
 PAIRS = BASKETS + """,
-capped AS (SELECT b.basket, b.item FROM baskets b JOIN sizes s USING (basket) WHERE s.n BETWEEN 2 AND 50),
-pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS together FROM capped x JOIN capped y USING (basket)
+pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS together FROM baskets x JOIN baskets y USING (basket)
           WHERE x.item < y.item GROUP BY 1, 2)"""
 RULES = PAIRS + """,
 directed AS (SELECT a AS item_id, b AS other_id, together FROM pairs WHERE together >= 2

@@ -40,11 +40,11 @@ def _(shop):
 
 
 NEAREST = ", ".join(
-    f"list_sort(list(metric_value))[CAST(floor({q}e0 * count(*)) AS BIGINT) + 1] AS {p}" for p, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
+    f"CASE WHEN count(*) > 10 THEN list_sort(list(metric_value))[CAST(floor({q}e0 * count(*)) AS BIGINT) + 1] END AS {p}" for p, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
 )
 
 
-@query("s2_latency_percentiles", "metrics", f"SELECT {WS.format(60)}, count(*) AS n_values, {NEAREST} FROM {LATENCY} GROUP BY 1 HAVING count(*) > 10")
+@query("s2_latency_percentiles", "metrics", f"SELECT {WS.format(60)}, count(*) AS n_values, {NEAREST} FROM {LATENCY} GROUP BY 1")
 def _(shop):
     out = M.nearest_percentiles(M.in_windows(latency(shop), "60 minutes"), "metric_value", ["window_start"])
     return out.withColumn("window_start", stamp("window_start"))

@@ -115,18 +115,16 @@ def _(shop):
     return P.positives(shop.interactions)
 
 
-KEY = "s.user_id || '|' || s.product_id || '|' || c.copy || '|42'"
 NEGATIVES = f"""
-seen AS (SELECT user_id, product_id, count(*) AS n FROM interactions GROUP BY 1, 2),
+seen AS (SELECT DISTINCT user_id, product_id FROM interactions),
 uix AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS k FROM (SELECT DISTINCT user_id FROM seen)),
 iix AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS k FROM (SELECT DISTINCT product_id FROM seen)),
-draws AS (SELECT {md5_number(KEY, 15)} AS o, s.user_id AS u, s.product_id AS p, c.copy,
-  {md5_number(KEY, 1)} % (SELECT count(*) FROM uix) AS ui, {md5_number(KEY, 8)} % (SELECT count(*) FROM iix) AS ii
-  FROM seen s, LATERAL (SELECT unnest(range(1, s.n * 4 + 1)) AS copy) c),
-fresh AS (SELECT d.*, uix.user_id, iix.product_id FROM draws d JOIN uix ON uix.k = ui JOIN iix ON iix.k = ii
+need AS (SELECT 2 * (SELECT count(*) FROM interactions) AS wanted, (SELECT count(*) FROM uix) * (SELECT count(*) FROM iix) AS pairs, (SELECT count(*) FROM seen) AS n),
+draws AS (SELECT draw, {md5_number("draw || '|42'", 1)} % (SELECT count(*) FROM uix) AS ui, {md5_number("draw || '|42'", 17)} % (SELECT count(*) FROM iix) AS ii
+  FROM (SELECT unnest(range(1, CAST(ceil((wanted + 10e0 * sqrt(wanted) + 100e0) * pairs / (pairs - n)) AS BIGINT) + 1)) AS draw FROM need)),
+fresh AS (SELECT draw, uix.user_id, iix.product_id FROM draws JOIN uix ON uix.k = ui JOIN iix ON iix.k = ii
   ANTI JOIN seen x ON x.user_id = uix.user_id AND x.product_id = iix.product_id),
-negatives AS (SELECT user_id, product_id FROM fresh
-  QUALIFY row_number() OVER (ORDER BY o, u, p, copy) <= 2 * (SELECT count(*) FROM interactions))"""
+negatives AS (SELECT user_id, product_id FROM fresh QUALIFY row_number() OVER (ORDER BY draw) <= (SELECT wanted FROM need))"""
 
 
 @query("m11_negative_samples", "interactions", f"WITH {NEGATIVES} SELECT user_id, product_id, 0 AS label, 0e0 AS rating FROM negatives")

@@ -118,10 +118,15 @@ def _(shop):
     "o8_cold_start", "users products interactions",
     """WITH pop AS (SELECT product_id, round(sum(CASE interaction_type WHEN 'view' THEN 0.1e0 WHEN 'add_to_cart' THEN 0.5e0 ELSE 1e0 END
   * exp(-0.6931471805599453e0 * date_diff('day', CAST(ts AS DATE), DATE '2001-12-01') / 180e0)), 6) AS score FROM interactions GROUP BY 1),
-best AS (SELECT product_id, score, category, row_number() OVER (PARTITION BY category ORDER BY score DESC, product_id) AS rank
-  FROM pop JOIN products USING (product_id) QUALIFY rank <= 10),
+popular AS (SELECT product_id, score, category AS own FROM pop JOIN products USING (product_id)),
+first AS (SELECT own AS category, product_id, score, 0 AS fill FROM popular WHERE own IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, product_id) <= 10),
+shop AS (SELECT * FROM popular ORDER BY score DESC, product_id LIMIT 10),
+wanted AS (SELECT DISTINCT coalesce(preference_category, '*') AS category FROM users),
+best AS (SELECT category, product_id, score, row_number() OVER (PARTITION BY category ORDER BY fill, score DESC, product_id) AS rank
+  FROM (SELECT * FROM first UNION ALL SELECT category, product_id, score, 1 FROM wanted, shop WHERE own IS DISTINCT FROM category) QUALIFY rank <= 10),
 active AS (SELECT user_id FROM interactions GROUP BY 1 HAVING count(*) >= 30)
-SELECT user_id, b.category, product_id, score, rank FROM users u JOIN best b ON b.category = u.preference_category
+SELECT user_id, b.category, product_id, score, rank FROM users u JOIN best b ON b.category = coalesce(u.preference_category, '*')
 WHERE user_id NOT IN (SELECT user_id FROM active)""",
 )
 def _(shop):

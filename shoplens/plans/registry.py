@@ -59,9 +59,9 @@ metrics AS (
     CASE WHEN event_type = 'error' THEN 1e0 ELSE value END AS metric_value, user_id, 'v' || (user_id % 3) AS model_version
   FROM events)""",
     "user_factors": """
-user_factors AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE vec_id < 100)""",
+user_factors AS (SELECT vec_id // 5 AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE vec_id % 5 = 0)""",
     "item_factors": """
-item_factors AS (SELECT vec_id - 100 AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE vec_id >= 100)""",
+item_factors AS (SELECT vec_id - vec_id // 5 - 1 AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE vec_id % 5 <> 0)""",
     "raw_users": """
 raw_users AS (
   SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN age END AS age, CASE WHEN user_id % 5 <> 0 THEN gender END AS gender,

@@ -19,7 +19,7 @@ SEGMENT_CATEGORY = {
 FLAG_TYPE = {"N": "purchase", "A": "add_to_cart", "R": "view"}
 SHOP_NOW = "2001-12-01 00:00:00"
 STREAM_NOW = "2024-01-31 00:00:00"
-FACTOR_USERS = 100
+USER_EVERY = 5
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -175,14 +175,14 @@ class Shop:
 
     @cached_property
     def user_factors(self) -> DataFrame:
-        return self.table("embeddings").where(F.col("vec_id") < FACTOR_USERS).select(
-            F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
+        return self.table("embeddings").where(F.col("vec_id") % USER_EVERY == 0).select(
+            F.expr(f"vec_id div {USER_EVERY}").alias("id"), F.col("embedding").alias("vector")
         )
 
     @cached_property
     def item_factors(self) -> DataFrame:
-        return self.table("embeddings").where(F.col("vec_id") >= FACTOR_USERS).select(
-            (F.col("vec_id") - FACTOR_USERS).alias("id"), F.col("embedding").alias("vector")
+        return self.table("embeddings").where(F.col("vec_id") % USER_EVERY != 0).select(
+            F.expr(f"vec_id - vec_id div {USER_EVERY} - 1").alias("id"), F.col("embedding").alias("vector")
         )
 
     @cached_property

@@ -27,8 +27,9 @@ def distinct_events(events: DataFrame) -> DataFrame:
 
 
 def user_sessions(events: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
-    """Sessions per user, emitted when the watermark passes their end in append mode."""
-    return events.groupBy("user_id", F.session_window("ts", f"{gap_minutes} minutes").alias("w")).agg(
+    """Sessions per user, emitted when the watermark passes their end in append mode. As in batch, only a pause longer than
+    the gap ends a session; the window itself would end at the gap."""
+    return events.groupBy("user_id", F.session_window("ts", f"{gap_minutes} minutes 1 microsecond").alias("w")).agg(
         F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("events"),
         type_count("event_type", "purchase").alias("purchases"), exact_sum("dwell_time").alias("dwell_time"),
     ).drop("w")
