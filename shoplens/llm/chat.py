@@ -1,6 +1,7 @@
 """Chat formatting of reply trees.
 
-Iterative self-joins double the ancestor links of all messages, so a tree of depth d takes about log2(d) joins. They give
+Iterative self-joins double the ancestor links of the messages whose root is not reached yet, so a tree of depth d takes
+about log2(d) joins and short trees leave early. They give
 every message its depth and the summed score of its path from the root. Leaves are ranked by that sum; the same links,
 walked from the chosen leaves, enumerate the messages of each chosen path, which is formatted as one conversation.
 
@@ -11,6 +12,8 @@ character restores them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,23 +57,26 @@ def best_paths(messages: DataFrame, tables: Tables, branches: int | None = 1) ->
         "tree", "node", F.when(F.col("node2") < F.col("node"), F.col("node2")).alias("up"),
         F.when(F.col("node2") < F.col("node"), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total"),
     )
-    level, jumps = 0, []
+    level, jumps, done = 0, [], []
     links = tables.keep("links-0", links)
     while True:
-        jumps.append(links.where(F.col("up").isNotNull()).select("tree", "node", "up"))
-        if jumps[-1].isEmpty():
+        done.append(links.where(F.col("up").isNull()))
+        links = links.where(F.col("up").isNotNull())
+        jumps.append(links.select("tree", "node", "up"))
+        if links.isEmpty():
             break
-        further = links.select(
+        known = reduce(DataFrame.unionByName, done, links)
+        further = known.select(
             F.col("tree").alias("tree2"), F.col("node").alias("node2"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2")
         )
         level += 1
         links = tables.keep(
             f"links-{level}",
-            links.join(further, _same(links, further, "up"), "left").select(
-                "tree", "node", F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
+            links.join(further, _same(links, further, "up")).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"),
             ),
         )
+    links = reduce(DataFrame.unionByName, done)
     answered = jumps[0].select(F.col("tree").alias("tree2"), F.col("up").alias("node2")).distinct()
     leaves = links.join(answered, _same(links, answered, "node"), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node"))
