@@ -141,8 +141,19 @@ class InvertedLists:
         centres = [(int(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         self.centres = items.sparkSession.createDataFrame(centres, "id long, vector array<double>")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 10) -> DataFrame:
-        """Best k by inner product of unit vectors within the ``probes`` nearest groups."""
+    def probes_for(self, queries: DataFrame, k: int, target: float = 0.95, sample: int = 100) -> int:
+        """The fewest groups, in steps of a half, that find the target share of a bounded sample's exact neighbours."""
+        some = queries.orderBy(F.xxhash64("id"), "id").limit(sample).checkpoint()
+        exact = nearest(some, self.lists.select("id", "vector"), k).checkpoint()
+        cells, probes = self.centres.count(), 2
+        while probes < cells and (recall(exact, self.search(some, k, probes)).first()["recall"] or 0.0) < target:
+            probes = math.ceil(probes * 1.5)
+        return min(probes, cells)
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """Best k by inner product of unit vectors within the ``probes`` nearest groups, by default as many as a sample of
+        the queries needs."""
+        probes = probes or self.probes_for(queries, k)
         units = unit_vectors(queries)
         probed = best_matches(units, self.centres, probes).select("id", F.col("other").cast("int").alias("cell"))
         return matches_in_cells(units.join(probed, "id"), self.lists, k)

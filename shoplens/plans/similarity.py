@@ -119,9 +119,16 @@ def _(shop):
     return S.nearest(shop.user_factors, shop.item_factors, 10)
 
 
-@query("k8_inverted_lists")
+@query(
+    "k8_inverted_lists", "user_factors item_factors",
+    "SELECT id, least(10, (SELECT count(*) FROM item_factors)) AS found, least(10, (SELECT count(*) FROM item_factors)) AS last_rank, true AS cosines FROM user_factors",
+)
 def _(shop):
-    return S.InvertedLists(shop.item_factors).search(shop.user_factors, 10)
+    """Per query: distinct neighbours found, the last rank, and whether all scores are cosines."""
+    rows = S.InvertedLists(shop.item_factors).search(shop.user_factors, 10)
+    return rows.groupBy("id").agg(
+        F.countDistinct("other").alias("found"), F.max("rank").cast("long").alias("last_rank"), F.min(F.col("score").between(-1.0, 1.0)).alias("cosines")
+    )
 
 
 @query("k9_item_neighbours", "item_factors", f"WITH {COSINES} {_top('cosines', 20)}")
@@ -150,10 +157,11 @@ def _(shop):
     )
 
 
-@query("k12_recall")
+@query("k12_recall", "user_factors item_factors", "SELECT count(*) * least(10, (SELECT count(*) FROM item_factors)) AS wanted, true AS nine_of_ten FROM user_factors")
 def _(shop):
     exact = S.nearest(shop.user_factors, shop.item_factors, 10)
-    return S.recall(exact, S.InvertedLists(shop.item_factors).search(shop.user_factors, 10))
+    found = S.recall(exact, S.InvertedLists(shop.item_factors).search(shop.user_factors, 10))
+    return found.select("wanted", (F.col("recall") >= 0.9).alias("nine_of_ten"))
 
 
 @query("a12_similarity_artefact", "item_factors", f"WITH {COSINES} SELECT item_id, other_id, score FROM ({_top('cosines', 10)})")
