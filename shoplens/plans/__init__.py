@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "cleaning", "quality", "joins", "aggregates", "encoding", "ordering", "baskets", "similarity", "factors", "pairs",
-    "models", "recommending", "clickstream", "streams", "store", "profiling", "monitoring",
+    "models", "recommending", "fulltables", "clickstream", "streams", "store", "profiling", "monitoring",
 )
 
 
