@@ -188,7 +188,11 @@ def pair_counts(baskets: DataFrame, basket: str, item: str, light: int = 50, blo
     times and therefore kept in the shared folder.
     """
     shared_folder(baskets.sparkSession)
-    sized = with_sizes(baskets, basket, item, smallest=2).checkpoint()
+    return sized_pair_counts(with_sizes(baskets, basket, item, smallest=2).checkpoint(), basket, item, light, block_rows)
+
+
+def sized_pair_counts(sized: DataFrame, basket: str, item: str, light: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """pair_counts() of rows that carry their basket_size already; they are read several times."""
     listed = _light_pairs(sized.where(F.col("basket_size") <= light), basket, item)
     product = _heavy_pairs(sized.where(F.col("basket_size") > light), basket, item, block_rows)
     return listed.unionByName(product).groupBy("a", "b").agg(F.sum("together").alias("together"))

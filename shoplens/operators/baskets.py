@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoplens.functions.blocks import listed_pairs, pair_counts, rank_rows, with_sizes
+from shoplens.functions.blocks import listed_pairs, pair_counts, rank_rows, sized_pair_counts, with_sizes
 from shoplens.schemas import BASKET_TYPES
 from shoplens.session import shared_folder
 
 
 def extract(interactions: DataFrame, types: list[str] | None = None, key: str = "user_id") -> DataFrame:
-    """Distinct (basket, item, basket_size) rows of baskets with more than one item."""
+    """Distinct (basket, item, basket_size) rows of baskets with more than one item.
+
+    Pairs, frequencies and totals all read them, so they are computed at once and kept in the shared folder.
+    """
+    shared_folder(interactions.sparkSession)
     kept = (
         interactions.where(F.col("interaction_type").isin(types or BASKET_TYPES))
         .select(F.col(key).alias("basket"), F.col("product_id").alias("item"))
         .distinct()
     )
-    return with_sizes(kept, "basket", "item", smallest=2)
+    return with_sizes(kept, "basket", "item", smallest=2).checkpoint()
 
 
 def frequencies(baskets: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def cooccurrence(baskets: DataFrame, smallest: int = 2, largest: int | None = No
     baskets then do not count by definition."""
     if largest is not None:
         return listed_pairs(baskets, "basket", "item", largest, smallest)
-    return pair_counts(baskets.where(F.col("basket_size") >= smallest).select("basket", "item"), "basket", "item")
+    return sized_pair_counts(baskets.where(F.col("basket_size") >= smallest), "basket", "item")
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
