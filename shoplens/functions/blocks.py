@@ -98,6 +98,19 @@ def best_matches(
     Both sides have columns (id, vector). ``skip`` holds (id, other) pairs that must not be returned. Scores are
     rounded to six digits and ties go to the smaller id, so the result does not depend on the blocks.
     """
+    return rank_rows(_cell_matches(left, right, k, cosine, skip_self, skip, block_rows, False), "id", "other", k)
+
+
+def matches_and_range(left: DataFrame, right: DataFrame, k: int, cosine: bool = False, skip_self: bool = False, block_rows: int = BLOCK_ROWS):
+    """best_matches() and the (low, high) of all scores from one pass over the cells, whose rows are kept for both."""
+    shared_folder(left.sparkSession)
+    partial = _cell_matches(left, right, k, cosine, skip_self, None, block_rows, True).checkpoint()
+    extremes = partial.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high")).alias("r")).scalar()
+    return rank_rows(partial.where(F.col("other").isNotNull()), "id", "other", k), extremes
+
+
+def _cell_matches(left: DataFrame, right: DataFrame, k: int, cosine: bool, skip_self: bool, skip: DataFrame | None, block_rows: int, lowest: bool) -> DataFrame:
+    """The best k of each row within each cell, and with ``lowest`` a row without ``other`` for each cell's least score."""
     n_left, n_right = block_count(left, block_rows), block_count(right, block_rows)
     if skip is not None:  # only pairs whose two sides are there matter
         skip = skip.select("id", "other").join(left.select("id"), "id", "left_semi").join(
@@ -114,14 +127,12 @@ def best_matches(
         out = pd.DataFrame(
             {"id": np.repeat(left_ids, ranked.shape[1]), "other": right_ids[ranked].ravel(), "score": top.ravel()}
         )
-        return out.dropna(subset=["score"])
+        out = out.dropna(subset=["score"])
+        if lowest and len(out):
+            out = pd.concat([out.astype({"other": "Int64"}), pd.DataFrame({"id": left_ids[:1], "other": pd.array([None], "Int64"), "score": [np.nanmin(scores)]})])
+        return out
 
-    partial = (
-        _cells(left, right, skip, n_left, n_right)
-        .groupBy("lb", "rb")
-        .applyInPandas(cell_best, "id long, other long, score double")
-    )
-    return rank_rows(partial, "id", "other", k)
+    return _cells(left, right, skip, n_left, n_right).groupBy("lb", "rb").applyInPandas(cell_best, "id long, other long, score double")
 
 
 def rank_rows(scored: DataFrame, key: str, other: str, k: int, score: str = "score") -> DataFrame:

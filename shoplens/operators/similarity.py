@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.blocks import BLOCK_ROWS, DIGITS, best_matches, rank_rows, score_totals
+from shoplens.functions.blocks import BLOCK_ROWS, DIGITS, best_matches, matches_and_range, rank_rows, score_totals
 from shoplens.functions.scalars import cosine, unit
 from shoplens.session import shared_folder
 
@@ -65,13 +65,13 @@ def hybrid(vectors: DataFrame, copurchase: DataFrame, k: int = INDEX_SIZE) -> Da
     A pair without shared buyers is ordered by its cosine alone, so the best k of those are among the k most similar
     items; together with all pairs that share buyers they contain the true best k, and no other pair is formed.
     """
-    extremes = cosine_rows(vectors).agg(F.struct(F.min("low").alias("low"), F.max("high").alias("high")).alias("r")).scalar()
+    best, extremes = matches_and_range(vectors, vectors, k, cosine=True, skip_self=True)
     n = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
     known = vectors.select("id")
     bought = copurchase.join(known.withColumnRenamed("id", "item_id"), "item_id", "left_semi").join(
         known.withColumnRenamed("id", "other_id"), "other_id", "left_semi"
     )
-    near = most_similar(vectors, k).select("item_id", "other_id", F.col("score").alias("cosine"))
+    near = best.select(F.col("id").alias("item_id"), F.col("other").alias("other_id"), F.col("score").alias("cosine"))
     together = pair_cosine(normalised_pairs(bought, n), vectors).select("item_id", "other_id", "cosine", F.col("score").alias("shared"))
     alone = near.join(bought.select("item_id", "other_id"), ["item_id", "other_id"], "left_anti").withColumn("shared", F.lit(0.0))
     pairs = together.unionByName(alone).withColumn("_r", extremes)

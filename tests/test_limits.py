@@ -97,3 +97,13 @@ def test_a_pause_of_exactly_the_gap_goes_on(spark):
     times = [0, 30, 60, 91]
     events = spark.createDataFrame([(1, start + datetime.timedelta(minutes=m), "view", 1.0) for m in times], "user_id long, ts timestamp, event_type string, dwell_time double")
     assert sorted(r.events for r in user_sessions(events).collect()) == [1, 3]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from shoplens.session import shared_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
