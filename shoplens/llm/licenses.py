@@ -103,7 +103,8 @@ def contained_templates(
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
     ranked = F.array_sort(F.transform("hits", lambda w: F.struct(ranks[w].alias("rank"), w.alias("word"))))
     tokens = hits.withColumn("_ranked", ranked).select(*key, "hits", F.posexplode("_ranked").alias("place", "token"))
-    pairs = tokens.join(prefix, tokens["token.word"] == prefix["word"])
+    # The templates' prefixes are a parameter of the scan, a row per template and rare word, whatever the corpus.
+    pairs = tokens.join(F.broadcast(prefix), tokens["token.word"] == prefix["word"])
     room = F.least(F.size("words") - F.col("at"), F.size("hits") - F.col("place"))
     pairs = pairs.where((F.size("hits") >= F.col("least")) & (room + F.least("at", "place") >= F.col("least")))
     overlap = F.size(F.array_intersect("hits", "words"))
