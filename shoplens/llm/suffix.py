@@ -259,7 +259,7 @@ def equal_strings(group: np.ndarray, low: np.ndarray, high: np.ndarray, lowest:
     """(place, distance) of every string that another place of the same group (one middle) has as well.
 
     A string at distance d takes d - lowest bytes before the middle and highest - d after it."""
-    width = int((highest - lowest).max(initial=0))
+    width = max(1, int((highest - lowest).max(initial=0)))
     left, right = _grid(before, width, True), _grid(after, width, False)
     (by_left, left_common), (by_right, right_common) = _order(group, left), _order(group, right)
     out_row, out_at = [], []
