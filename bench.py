@@ -17,7 +17,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "b_clean_interactions", "c6_expectation_suites", "d2_facts_with_dimensions", "d_interaction_features", "e1_user_profile", "e16_rollups", "e_user_features", "e_product_features", "f1_label_encoding",
     "g2_top_partners", "g5_ordered_split", "j5_lift", "j9_basket_recommendation_jaccard", "j10_shared_buyers", "k1_most_similar",
-    "k3_hybrid_scores", "l2_rating_matrix", "l6_als_factors", "m9_pair_features", "m11_negative_samples", "n1_train_ranker", "o1_personal_top", "o8_cold_start",
+    "k3_hybrid_scores", "l2_rating_matrix", "l6_als_factors", "l6_als_rank50", "m9_pair_features", "m11_negative_samples", "n1_train_ranker", "o1_personal_top", "o8_cold_start",
     "p5_sessions", "p13_running_means", "q7_point_in_time", "r1_numeric_profile", "s1_window_summary", "s9_rollback_admission",
 ]
 
