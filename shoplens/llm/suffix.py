@@ -9,7 +9,8 @@ what comes after it (parse) are built, with the common lengths of neighbours, an
 orders put them in one class. The corpus order is thus made in shards of one middle each and never as one array.
 
 Strings without a trigger, as in periodic text, are their own middle. Middles that many texts of one batch hold are
-announced once per batch and settled string by string with grouped counts, so no task gathers a frequent middle.
+announced once per batch and looked at again in narrow bands, whose middles are longer; those that are still too frequent
+for a task are settled string by string with grouped counts.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ LENGTH = 400
 WINDOW = 16
 PHRASE = 64
 BAND = 128
+NARROW = 16
 FREQUENT = 256
 PACK_BYTES = 4 << 20
 ROWS = 20000
+GROUP_ROWS = 100_000
 
 
 class Bands:
@@ -45,6 +48,14 @@ class Bands:
         self.high = np.minimum(starts + BAND - 1, length)
         self.low, self.high = self.low[self.low <= self.high], self.high[: (self.low <= self.high).sum()]
         self.plain = len(self.low)
+        # Narrower bands for frequent middles, numbered after the others; all_low and all_high go by number.
+        self.narrow: list[list[tuple[int, int, int]]] = []
+        low, high = [*self.low, 0], [*self.high, 0]
+        for lowest, highest in zip(self.low.tolist(), self.high.tolist()):
+            self.narrow.append([(len(low) + i, a, min(a + NARROW - 1, highest)) for i, a in enumerate(range(lowest, highest + 1, NARROW))])
+            low += [x[1] for x in self.narrow[-1]]
+            high += [x[2] for x in self.narrow[-1]]
+        self.all_low, self.all_high = np.array(low), np.array(high)
 
 
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +201,8 @@ PLACE = "k1 bigint, k2 bigint, kind int, node bigint, at bigint, low int, high i
 
 
 def places(texts: DataFrame, length: int, hot: bool) -> DataFrame:
-    """For texts (node, text, codes): each place with the digest of its middle and the bytes before and after it; of hot
-    places each string by itself, with its digest as the middle."""
+    """For texts (node, text, codes): each place with the digest of its middle and the bytes before and after it. Hot places
+    are cut into narrow bands, whose longer middles reach beyond what made them frequent."""
     bands = Bands(length)
     names = [x.split()[0] for x in PLACE.split(", ")]
 
@@ -211,14 +222,14 @@ def places(texts: DataFrame, length: int, hot: bool) -> DataFrame:
                     mine = order[borders[i] : borders[i + 1]]
                     mine = mine[np.isin(code[mine], wanted)]
                     base = int(offsets[i])
-                    for at, kind, low, high, begin, end in zip(*(found[k][mine].tolist() for k in ("at", "kind", "low", "high", "begin", "end"))):
-                        if hot:
-                            for start in range(at - high, at - low + 1):
-                                k = xxhash.xxh3_128_digest(raw[start : start + length])
-                                rows.append((k, 0, node, start - base, 0, 0, b"", b""))
-                        else:
-                            k = xxhash.xxh3_128_digest(raw[begin:end])
-                            rows.append((k, kind, node, at - base, low, high, raw[at - high : begin], raw[end : at - low + length]))
+                    for at, kind, low, high in zip(*(found[k][mine].tolist() for k in ("at", "kind", "low", "high"))):
+                        cuts = bands.narrow[kind] if hot and kind < bands.plain else [(kind, bands.all_low[kind], bands.all_high[kind])]
+                        for number, lowest, highest in cuts:
+                            near, far = max(low, lowest), min(high, highest)
+                            if near <= far:
+                                begin, end = at - lowest, at - highest + length
+                                k = xxhash.xxh3_128_digest(raw[begin:end])
+                                rows.append((k, number, node, at - base, near, far, raw[at - far : begin], raw[end : at - near + length]))
                 columns = list(zip(*rows)) if rows else [()] * 8
                 keys = np.frombuffer(b"".join(columns[0]), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -288,7 +299,7 @@ def _covered(batch: pa.RecordBatch, bands: Bands) -> pa.RecordBatch:
     k1, k2, kind, node, at, low, high = (column(c) for c in ("k1", "k2", "kind", "node", "at", "low", "high"))
     group = np.zeros(len(k1), np.int64)
     group[1:] = np.cumsum((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (kind[1:] != kind[:-1]))
-    lowest, highest = np.append(bands.low, 0)[kind], np.append(bands.high, 0)[kind]
+    lowest, highest = bands.all_low[kind], bands.all_high[kind]
     # A row that repeats another's key and text comes as often, and counts once.
     order = np.lexsort((at, node, group))
     once = np.ones(len(order), bool)
@@ -336,6 +347,22 @@ def covered(found: DataFrame, length: int) -> DataFrame:
     return found.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "node bigint, start bigint, stop bigint")
 
 
+def counted_strings(found: DataFrame, length: int) -> DataFrame:
+    """covered() for places of middles too frequent for a task: every string by itself, counted after partial counts."""
+    bands = Bands(length)
+    lowest, highest = (F.get(F.array(*[F.lit(int(x)) for x in edge]), F.col("kind")) for edge in (bands.all_low, bands.all_high))
+    rows = found.dropDuplicates(["k1", "k2", "kind", "node", "at"]).withColumns({"lowest": lowest, "highest": highest})
+    each = rows.withColumn("distance", F.explode(F.sequence("low", "high")))
+    left, right = F.col("distance") - F.col("lowest"), F.col("highest") - F.col("distance")
+    each = each.select(
+        "k1", "k2", "kind", "distance", "node", (F.col("at") - F.col("distance")).alias("start"),
+        F.substr("before", F.octet_length("before") - left + 1, left).alias("before"), F.substr("after", F.lit(1), right).alias("after"),
+    )
+    string = ["k1", "k2", "kind", "distance", "before", "after"]
+    twice = each.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return each.join(twice, string, "left_semi").select("node", "start", (F.col("start") + length).alias("stop"))
+
+
 def _cut(texts: DataFrame) -> DataFrame:
     """Texts (node, text, spans) without their spans: kept bytes, n_removed, n_spans, kept_sha256."""
 
@@ -377,14 +404,16 @@ def _removed(docs: DataFrame, tables: Tables, length: int, frequent: int, key: s
     texts = long_texts.join(wanted, F.col("key").eqNullSafe(F.col("key2")) & (F.col("node") == F.col("node2"))).select("node", "text", "codes", "copies")
     texts = tables.keep("texts", texts)
     spans = covered(places(texts, length, False), length)
-    single = places(texts, length, True).select("k1", "k2", "node", "at").distinct()
-    twice = single.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spans = spans.unionByName(single.join(twice, ["k1", "k2"], "left_semi").select("node", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
+    hot = tables.keep("hot", places(texts, length, True))
+    middle = ["k1", "k2", "kind"]
+    again = hot.groupBy(*middle).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spans = spans.unionByName(covered(hot.join(again.where(F.col("n") <= GROUP_ROWS), middle, "left_semi"), length))
+    spans = spans.unionByName(counted_strings(hot.join(again.where(F.col("n") > GROUP_ROWS), middle, "left_semi"), length))
     spans = spans.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     lone = texts.where("copies = 1").select("node", "text").dropDuplicates(["node"])
     changed = tables.keep("changed", _cut(lone.join(spans, "node").select("node", "text", "spans")))
     copied = one.where("copies > 1").select("node", F.lit(True).alias("copied"))
-    tables.drop("texts")
+    tables.drop("texts", "hot")
     return rows, changed.join(copied, "node", "full")
 
 
