@@ -25,8 +25,10 @@ def brute(rows, length):
     return sorted(out, key=repr), kept_texts
 
 
-@pytest.mark.parametrize("length,frequent", [(400, 256), (60, 256), (60, 3), (150, 2)])
-def test_removal_as_brute_force(odd, odd_rows, length, frequent):
+@pytest.mark.parametrize("length,frequent,group", [(400, 256, 9), (60, 256, 9), (60, 3, 100_000), (60, 2, 3), (150, 2, 5), (400, 2, 2)])
+def test_removal_as_brute_force(odd, odd_rows, monkeypatch, length, frequent, group):
+    """Also with middles frequent in a batch, and with groups too large for a task."""
+    monkeypatch.setattr(suffix, "GROUP_ROWS", group)
     found = suffix.remove_repeats(odd, length=length, frequent=frequent)
     assert sorted(map(tuple, found.collect()), key=repr) == brute(odd_rows, length)[0]
 
