@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +203,10 @@ PLACE = "k1 bigint, k2 bigint, kind int, node bigint, at bigint, low int, high i
 
 def places(texts: DataFrame, length: int, hot: bool) -> DataFrame:
     """For texts (node, text, codes): each place with the digest of its middle and the bytes before and after it. Hot places
-    are cut into narrow bands, whose longer middles reach beyond what made them frequent."""
+    are cut into narrow bands, whose longer middles reach beyond what made them frequent.
+
+    Strings without a trigger that stand twice in a slice of texts, as in periodic text, are repeated for certain: they give
+    runs of covered bytes (kind -1, from ``at``, ``high`` bytes long), and one of each stands for them elsewhere."""
     bands = Bands(length)
     names = [x.split()[0] for x in PLACE.split(", ")]
 
@@ -213,6 +217,7 @@ def places(texts: DataFrame, length: int, hot: bool) -> DataFrame:
                 found = blocks(data, offsets, bands, prefix_sums(data))
                 code = (found["at"] - offsets[found["row"]]) * 8 + found["kind"]
                 rows: list[tuple] = []
+                plain: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
                 order = np.argsort(found["row"], kind="stable")
                 borders = np.searchsorted(found["row"][order], np.arange(len(part) + 1))
                 raw = data.tobytes()
@@ -223,13 +228,18 @@ def places(texts: DataFrame, length: int, hot: bool) -> DataFrame:
                     mine = mine[np.isin(code[mine], wanted)]
                     base = int(offsets[i])
                     for at, kind, low, high in zip(*(found[k][mine].tolist() for k in ("at", "kind", "low", "high"))):
-                        cuts = bands.narrow[kind] if hot and kind < bands.plain else [(kind, bands.all_low[kind], bands.all_high[kind])]
+                        if kind == bands.plain:
+                            plain[xxhash.xxh3_128_digest(raw[at : at + length])].add((node, at - base))
+                            continue
+                        cuts = bands.narrow[kind] if hot else [(kind, bands.all_low[kind], bands.all_high[kind])]
                         for number, lowest, highest in cuts:
                             near, far = max(low, lowest), min(high, highest)
                             if near <= far:
                                 begin, end = at - lowest, at - highest + length
                                 k = xxhash.xxh3_128_digest(raw[begin:end])
                                 rows.append((k, number, node, at - base, near, far, raw[at - far : begin], raw[end : at - near + length]))
+                rows += [(k, bands.plain, *min(where), 0, 0, b"", b"") for k, where in plain.items()]
+                rows += [(b"\0" * 16, -1, node, start, 0, stop - start, b"", b"") for node, start, stop in _runs(plain.values(), length)]
                 columns = list(zip(*rows)) if rows else [()] * 8
                 keys = np.frombuffer(b"".join(columns[0]), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -243,6 +253,20 @@ def places(texts: DataFrame, length: int, hot: bool) -> DataFrame:
     return texts.select("node", "text", "codes").mapInArrow(run, PLACE)
 
 
+def _runs(places_: Iterable[set[tuple[int, int]]], length: int) -> Iterator[tuple[int, int, int]]:
+    """node, start and stop of the bytes under strings with several places."""
+    now = None
+    for node, at in sorted(x for where in places_ if len(where) > 1 for x in where):
+        if now and now[0] == node and at <= now[2]:
+            now = (node, now[1], at + length)
+            continue
+        if now:
+            yield now
+        now = (node, at, at + length)
+    if now:
+        yield now
+
+
 def _grid(strings: pa.Array, width: int, backwards: bool) -> np.ndarray:
     """Strings as rows of bytes, filled with zeros; backwards puts the last byte first."""
     data, offsets = utf8(strings)
@@ -403,8 +427,11 @@ def _removed(docs: DataFrame, tables: Tables, length: int, frequent: int, key: s
     wanted = found.join(one.where("copies > 0"), "node").select(F.col("node").alias("node2"), F.col("key").alias("key2"), "codes", "copies")
     texts = long_texts.join(wanted, F.col("key").eqNullSafe(F.col("key2")) & (F.col("node") == F.col("node2"))).select("node", "text", "codes", "copies")
     texts = tables.keep("texts", texts)
-    spans = covered(places(texts, length, False), length)
+    found = tables.keep("places", places(texts, length, False))
     hot = tables.keep("hot", places(texts, length, True))
+    runs = found.unionByName(hot).where("kind < 0").select("node", F.col("at").alias("start"), (F.col("at") + F.col("high")).alias("stop"))
+    found, hot = found.where("kind >= 0"), hot.where("kind >= 0")
+    spans = runs.unionByName(covered(found, length))
     middle = ["k1", "k2", "kind"]
     again = hot.groupBy(*middle).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spans = spans.unionByName(covered(hot.join(again.where(F.col("n") <= GROUP_ROWS), middle, "left_semi"), length))
@@ -413,7 +440,7 @@ def _removed(docs: DataFrame, tables: Tables, length: int, frequent: int, key: s
     lone = texts.where("copies = 1").select("node", "text").dropDuplicates(["node"])
     changed = tables.keep("changed", _cut(lone.join(spans, "node").select("node", "text", "spans")))
     copied = one.where("copies > 1").select("node", F.lit(True).alias("copied"))
-    tables.drop("texts", "hot")
+    tables.drop("texts", "places", "hot")
     return rows, changed.join(copied, "node", "full")
 
 
