@@ -75,6 +75,23 @@ def test_stages_as_plain_versions(spark, tmp_path):
     assert sum(copies.values()) == len(after) and max(copies.values()) <= 3 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_passages_of_just_over_50_words_go(spark):
+    """Of short words, so that none has 400 bytes."""
+    from test_suffix import brute as repeats
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6))) for _ in range(500)]
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [draw(n) for n in (51, 52, 55, 58, 60)]
+    assert all(200 < len(p) < 400 for p in passages)
+    rows = [(10 * i + j, f"{draw(30)} {p} {draw(20 + j)}", "en", "src0", 1) for i, p in enumerate(passages) for j in range(2)]
+    rows += [(100 + i, draw(80) + " " + " ".join(passages[0].split()[:20]), "en", "src1", 1) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r for r in corpus_pipeline.no_repeated_passages(spark, docs, FOLDER).collect()}
+    assert [found[r[0]].text for r in rows] == repeats(rows, 200)[1] and all(r.n_chars == len(r.text) for r in found.values())
+    assert not any(p in r.text for p in passages for r in found.values()) and found[100].text == rows[-2][1]
+
+
 def test_an_empty_corpus_gives_nothing(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for table in ("labels", "benchmark"):
