@@ -172,7 +172,7 @@ def top_k(rows: DataFrame, queries: DataFrame, tables: Tables, k: int = 5, sampl
     score 0. All rows, if there are fewer than k. Empty tables give none.
     """
     usable = lambda df: df.select(F.col("id").cast("long").alias("id"), "numbers").where("id is not null and numbers is not null")
-    rows = tables.keep("rows", usable(rows))
+    rows = tables.keep("rows", usable(rows).dropDuplicates(["id", "numbers"]))
     queries = tables.keep("queries", usable(queries).groupBy("id").agg(F.min("numbers").alias("numbers")))
     n = rows.count()
     drawn = rows.orderBy(F.xxhash64("id", "numbers"), "id", "numbers").limit(sample).select("numbers").collect()
@@ -189,15 +189,15 @@ def top_k(rows: DataFrame, queries: DataFrame, tables: Tables, k: int = 5, sampl
     if not shards:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
     spread = F.create_map(*[F.lit(x) for pair in sorted(shards.items()) for x in pair])
-    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("id"), spread[F.col("cell")]))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("id", "numbers"), spread[F.col("cell")]))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(_same=part["numbers"].map(tuple)).drop_duplicates(["id", "_same"])
         tree = Tree(part["id"].to_numpy(), _stack(part["numbers"].to_numpy()))
         first = part.iloc[0]
         return pd.DataFrame({"cell": [first["cell"]], "salt": [first["salt"]], "tree": [pickle.dumps(tree, 5)]})
 
     trees = tables.keep("trees", salted(celled).groupBy("cell", "salt").applyInPandas(build, "cell bigint, salt bigint, tree binary"))
+    held_parts = sorted(map(tuple, trees.select("cell", "salt").collect()))  # a salt may have drawn no row
     box = celled.select("cell", F.posexplode("numbers").alias("dim", "x")).groupBy("cell", "dim").agg(F.min("x"), F.max("x"), F.count("x"))
     edges = box.collect()  # cells x dimensions
     width = 1 + max([r["dim"] for r in edges], default=-1)
@@ -228,16 +228,17 @@ def top_k(rows: DataFrame, queries: DataFrame, tables: Tables, k: int = 5, sampl
                 ids, home, salt = (block[c].to_numpy() for c in ("id", "cell", "salt"))
                 edge = [np.pad(x, ((0, 0), (0, vectors.shape[1] - width))) for x in (low, high)]
                 reach = bounds(vectors, *edge)
-                for cell, parts_ in shards.items():
+                for cell, one in held_parts:
                     useful = (reach[:, cell] >= floor) | (floor == NONE)
-                    for one in range(parts_):
-                        rows_ = np.flatnonzero(useful & ~((home == cell) & (salt == one)))
-                        if len(rows_):
-                            yield pd.DataFrame({"cell": [cell], "salt": [one], "block": [pickle.dumps((ids[rows_], vectors[rows_], floor[rows_]), 5)]})
+                    rows_ = np.flatnonzero(useful & ~((home == cell) & (salt == one)))
+                    if len(rows_):
+                        yield pd.DataFrame({"cell": [cell], "salt": [one], "block": [pickle.dumps((ids[rows_], vectors[rows_], floor[rows_]), 5)]})
 
     def elsewhere(key, blocks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
-        tree = pickle.loads(held["tree"][0]) if len(held) else None
+        if not len(blocks):
+            return out[0]
+        tree = pickle.loads(held["tree"][0])
         for block in blocks["block"]:
             ids, vectors, floor = pickle.loads(block)
             out.append(_found(ids, *search(tree, ids, vectors, floor, k)))

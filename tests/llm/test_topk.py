@@ -38,3 +38,12 @@ def test_as_brute_force_with_ties_and_odd_vectors(spark):
     few = vectors.where("id < 3")
     assert sorted(map(tuple, topk.top_k(few, few.where("id = 0"), Tables("test")).collect())) == brute([r for r in rows if r[0] is not None and r[0] < 3], 5)
     assert topk.top_k(vectors.limit(0), vectors.limit(0), Tables("test")).collect() == []
+
+
+def test_one_id_with_many_rows(spark):
+    """Equal rows count once before shards are counted, and unequal rows of one id are spread over the shards."""
+    few = [(i, [float(i % 7), float(i % 5)]) for i in range(0, 120, 10)]
+    for rows in (few + [(50, [3.0, 1.0])] * 5000, few + [(50, [3.0, x / 16]) for x in range(3000)]):
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(F.col("vec_id").alias("id"), topk.whole_numbers("embedding").alias("numbers"))
+        found = topk.top_k(vectors, vectors.where("id % 50 = 0"), Tables("test"), shard_rows=500)
+        assert sorted(map(tuple, found.collect())) == brute(rows, 5)
