@@ -1,4 +1,6 @@
-"""Licence scans: an exact set-similarity join between lines of text and licence templates.
+"""Licence scans: an exact set-similarity join between blocks of text and licence templates.
+
+Blocks are the lines and, for notices wrapped over lines, every run of as many consecutive words as the template has.
 
 A line contains a template when it holds at least ``threshold`` of the template's distinct words. Words are ordered by
 how many lines hold them, rarest first. A line that reaches the required overlap a of a template with n words must hold
@@ -112,6 +114,22 @@ def contained_templates(
     return found.where(F.col("overlap") >= F.col("least")).drop("least").distinct()
 
 
+def wrapped_templates(texts: DataFrame, tables: Tables, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """For texts (_key, _row, _text, template): those where a run of as many words as the template has, over line ends too,
+    contains it, with label and the greatest containment."""
+    every = [(label, t.split()) for label, texts_ in sorted(templates.items()) for t in texts_]
+    sets = [(i, label, len(t), sorted(set(t)), math.ceil(round(threshold * len(set(t)), 9))) for i, (label, t) in enumerate(every)]
+    known = texts.sparkSession.createDataFrame(sets, "template int, label string, n int, words array<string>, least int")
+    # A text of one line is its own block.
+    texts = texts.where(F.contains("_text", F.lit("\n"))).join(F.broadcast(known), "template")
+    placed = F.transform(word_list(F.col("_text")), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    hits = tables.keep("hits", texts.select("_key", "_row", "label", "n", "least", F.size("words").alias("size"), F.filter(placed, lambda x: F.array_contains("words", x["word"])).alias("hits")))
+    run = lambda h, i: F.filter(F.slice("hits", i + 1, F.col("n")), lambda g: g["at"] < h["at"] + F.col("n"))
+    overlap = F.array_max(F.transform("hits", lambda h, i: F.size(F.array_distinct(F.transform(run(h, i), lambda g: g["word"])))))
+    best = hits.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("least"))
+    return best.select("_key", "_row", "label", (F.col("overlap") / F.col("size")).alias("containment"))
+
+
 def scan(docs: DataFrame, tables: Tables | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
 
@@ -122,8 +140,13 @@ def scan(docs: DataFrame, tables: Tables | None = None, key: str = "doc_id", tex
     tables = tables or Tables("licenses")
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_key", "_text"))
-    lines = rows.select("_key", "_row", F.explode(F.split("_text", "\n")).alias("line"))
-    matches = contained_templates(lines, ["_key", "_row"], tables)
+    # What the whole text does not contain, no block of it does.
+    whole = contained_templates(rows.select("_key", "_row", F.col("_text").alias("line")), ["_key", "_row"], tables)
+    whole = tables.keep("whole", whole.select(F.col("_key").alias("_key1"), F.col("_row").alias("_row1"), "template"))
+    same = (F.col("_row") == F.col("_row1")) & F.col("_key").eqNullSafe(F.col("_key1"))
+    chosen = tables.keep("chosen", rows.join(whole, same).select("_key", "_row", "_text", "template"))
+    lines = chosen.dropDuplicates(["_key", "_row"]).select("_key", "_row", F.explode(F.split("_text", "\n")).alias("line"))
+    matches = contained_templates(lines, ["_key", "_row"], tables).select("_key", "_row", "label", "containment").unionByName(wrapped_templates(chosen, tables))
     matches = matches.groupBy(F.col("_key").alias("_key2"), F.col("_row").alias("_row2")).agg(
         F.collect_set("label").alias("_more"), F.max("containment").alias("_best")
     )

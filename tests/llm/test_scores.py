@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -106,6 +107,16 @@ def test_licences_as_brute_force(odd, odd_rows, nothing, spark):
     assert licenses.scan(nothing, Tables("test")).collect() == []
 
 
+def test_licences_wrapped_over_lines(spark):
+    every = [(label, t) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    wraps = [textwrap.fill("x" * lead + " " + t + " and so on", 70, initial_indent="# ", subsequent_indent="# ") for lead in (5, 55) for _, t in every]
+    far = "redistribution and use in source and binary forms with or without\n" + "other words " * 30 + "\nmodification are permitted provided that the following conditions are met"
+    rows = [(i, t) for i, t in enumerate([*wraps, far])]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), Tables("test")).collect()}
+    assert all(label in found[i].labels.split(",") and found[i].score == 1.0 for i, (label, _) in enumerate(every * 2))
+    assert (found[len(wraps)].labels, found[len(wraps)].score) == ("", 0.0)
+
+
 def test_mix_keeps_to_its_targets(odd, odd_rows, nothing, spark):
     mixed = mixing.mix(odd)
     assert mixed.columns == [c for c in odd.columns if c != "size"] + ["size", "source_size", "target", "copies", "taken"]
