@@ -6,6 +6,7 @@ from shoplens.operators import pairfeatures as P
 from shoplens.operators import ranker
 from shoplens.operators import recommend as R
 from shoplens.operators import similarity as S
+from shoplens.plans import models
 from shoplens.plans.pairs import pair_features
 from shoplens.sources.tables import Shop
 
@@ -46,6 +47,10 @@ def test_ranker_learns_and_orders_features(spark, small):
     assert len(ranks) == len(P.FEATURES) and ranks == sorted(ranks, reverse=True)
 
 
+def test_queries_train_the_declared_ranker():
+    assert (models.TREES, models.DEPTH) == (ranker.TREES, ranker.DEPTH) == (200, 7)
+
+
 def test_recommendations_are_unseen_and_sorted(spark, small):
     shop = Shop(spark, small)
     ranked = R.personal(shop.user_factors, shop.item_factors, 10, shop.interactions)
