@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import chat, decontaminate, jaccard, language, licenses, mixing, quality, suffix, tokens, topk
+from shoplens.llm import bpe, chat, decontaminate, jaccard, language, licenses, mixing, quality, suffix, tokens, topk
 from shoplens.llm.common import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,10 @@ def _(spark, folder):
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("words"))
     return mixing.mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_byte_bpe")
+def _(spark, folder):
+    import public_tokenizers
+
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
