@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import bpe, chat, decontaminate, jaccard, language, licenses, mixing, quality, suffix, tokens, topk
+from shoplens.llm import bpe, chat, decontaminate, divergence, jaccard, language, licenses, mixing, quality, suffix, tokens, topk
 from shoplens.llm.common import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def _(spark, folder):
     import public_tokenizers
 
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op13_source_divergence", divergence.SQL)
+def _(spark, folder):
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"), Tables("divergence"))
