@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import bpe, chat, decontaminate, divergence, jaccard, language, licenses, mixing, quality, suffix, tokens, topk
+from shoplens.llm import bpe, chat, decontaminate, divergence, jaccard, language, licenses, mixing, negatives, quality, suffix, tokens, topk
 from shoplens.llm.common import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,13 @@ def _(spark, folder):
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op12_hard_negatives", negatives.SQL)
+def _(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), topk.whole_numbers("embedding").alias("numbers"))
+    return negatives.mine(rows, rows.where("id % 50 = 0"), Tables("negatives"))
+
+
 @query("op13_source_divergence", divergence.SQL)
 def _(spark, folder):
     return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"), Tables("divergence"))
