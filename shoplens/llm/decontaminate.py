@@ -2,7 +2,8 @@
 
 A test item with an error budget of e edits is cut into e + 1 pieces. Wherever the item stands with at most e edits, one
 piece stands unchanged, so an automaton over all pieces finds every candidate place in one walk over a text. Myers'
-bit-parallel distance, one machine operation per text character on integers as long as the item, decides.
+bit-parallel distance, one machine operation per text character on integers as long as the item, decides. Items of fewer
+than SHORTEST characters have no budget and count only between word borders, so that no part of a longer word is a match.
 Items and texts are compared in lower case with white space runs as one space.
 """
 
@@ -33,6 +34,14 @@ class Item:
     id: object
     text: str
     budget: int
+    bordered: bool = False
+
+    def stands(self, text: str, at: int) -> bool:
+        """Whether a word of the text neither begins before nor ends after the item at this place."""
+        end = at + len(self.text)
+        before = at > 0 and text[at - 1].isalnum() and self.text[0].isalnum()
+        after = end < len(text) and text[end].isalnum() and self.text[-1].isalnum()
+        return not before and not after
 
     def pieces(self) -> list[tuple[int, str]]:
         """budget + 1 pieces of about equal length, with their offsets."""
@@ -88,6 +97,11 @@ class Finder:
                 starts[i].add(end + 1 - length - offset)
         for i, found in starts.items():
             item, best = self.items[i], None
+            if item.bordered:
+                at = next((at for at in sorted(found) if item.stands(text, at)), None)
+                if at is not None:
+                    yield item, 0, at + len(item.text)
+                continue
             at = text.find(item.text)
             if at >= 0:
                 yield item, 0, at + len(item.text)
@@ -117,9 +131,10 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, rate: float, shortest
     block, size = [], 0
     for row in benchmark.select(F.col(key).alias("key"), F.col(text).alias("text")).orderBy("key", "text").toLocalIterator():
         found = normal(row["text"])
-        if len(found) < shortest:
+        if not found:
             continue
-        block.append(Item(row["key"], found, int(rate * len(found))))
+        short = len(found) < shortest
+        block.append(Item(row["key"], found, 0 if short else int(rate * len(found)), short))
         size += len(found)
         if size >= BLOCK_CHARS:
             yield block
@@ -134,8 +149,8 @@ def contaminated(
 ) -> DataFrame:
     """key, item_key, distance and end of every (row, item) where the item stands with at most rate * length edits.
 
-    Items of fewer than ``shortest`` characters (null and empty ones among them) are no evidence and are not searched.
-    Null and empty texts hold nothing. Repeated rows and items each give their own rows, null keys stay null. Other
+    Items of fewer than ``shortest`` characters are searched without edits, between word borders; null and empty ones are
+    nowhere. Null and empty texts hold nothing. Repeated rows and items each give their own rows, null keys stay null. Other
     columns are not read. Empty tables give no rows. ``end`` counts characters of the normal form. Items beyond
     BLOCK_CHARS are searched in further passes.
     """
@@ -170,7 +185,8 @@ def without_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, shortest: int = SHORTEST,
     text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """The input's rows and columns without the rows that hold a test item as contaminated() finds it; no row moves."""
+    """The input's rows and columns without the rows that hold a test item, short ones too, as contaminated() finds it; no row
+    moves."""
     for block in item_blocks(benchmark, item_key, item_text, rate, shortest):
 
         def run(batches: Iterator[pa.RecordBatch], block: list[Item] = block) -> Iterator[pa.RecordBatch]:

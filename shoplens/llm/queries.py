@@ -40,7 +40,7 @@ def _(spark, folder):
 
 @query("op3_suffix_dedup")
 def _(spark, folder):
-    return suffix.remove_repeats(table(spark, folder, "documents"))
+    return suffix.remove_repeats(table(spark, folder, "documents"), kept="text")
 
 
 @query("op4_reply_trees", chat.SQL)

@@ -444,20 +444,27 @@ def _removed(docs: DataFrame, tables: Tables, length: int, frequent: int, key: s
     return rows, changed.join(copied, "node", "full")
 
 
-def remove_repeats(docs: DataFrame, tables: Tables | None = None, length: int = LENGTH, frequent: int = FREQUENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+def remove_repeats(
+    docs: DataFrame, tables: Tables | None = None, length: int = LENGTH, frequent: int = FREQUENT, key: str = "doc_id", text: str = "text", kept: str | None = None
+) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row, and what is left of its text in a column named ``kept``.
 
     Removed is each byte covered by a ``length``-byte string that also starts anywhere else. Null counts as empty; texts
     shorter than ``length`` keep everything, equal longer texts lose everything, and so do repeated rows. Null and repeated
     keys are rows of their own. An empty table gives no rows. Columns other than key and text are not read. Texts are told
-    apart by 64-bit hashes, middles and strings by 128-bit ones.
+    apart by 64-bit hashes, middles and strings by 128-bit ones. The digest is of the remaining bytes; in the column, where a
+    cut falls inside a character, its other bytes are missing too.
     """
     rows, changed = _removed(docs, tables or Tables("repeats"), length, frequent, key, text)
-    out = rows.join(changed.drop("kept"), "node", "left")
+    if kept:
+        whole = F.coalesce(text, F.lit(""))
+        rows = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("node"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("sha"), whole.alias("_text"))
+    out = rows.join(changed if kept else changed.drop("kept"), "node", "left")
+    left = [F.when(F.col("copied"), F.lit("")).otherwise(F.coalesce("kept", "_text")).alias(kept)] if kept else []
     return out.select(
         F.col("key").alias(key), "n_bytes", F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copied"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("copied"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("copied"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), *left,
     )
 
 

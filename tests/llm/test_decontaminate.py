@@ -47,3 +47,12 @@ def test_items_within_budget_are_found(spark, odd, odd_rows, nothing):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({*range(200), 500, 501, 502} - set(expected))
     assert decontaminate.contaminated(nothing, bench).collect() == []
     assert decontaminate.contaminated(odd, bench.limit(0)).collect() == [] and decontaminate.without_leaks(odd, bench.limit(0)).count() == len(odd_rows)
+
+
+def test_short_items_stand_between_word_borders(spark):
+    bench = spark.createDataFrame([(1, "What is 17 times 23?"), (2, "Cat"), (3, " "), (4, "C++")], "item_id long, text string")
+    texts = ["so, WHAT is  17 times\n23?", "what is 17 times 234", "what is 17 times 23?x", "concatenate the cats", "concat, a cat.", "c++", "c++11 or c+", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.distance, r.end) for r in decontaminate.contaminated(docs, bench).collect())
+    assert found == [(0, 1, 0, 24), (2, 1, 0, 20), (4, 2, 0, 13), (5, 4, 0, 3), (6, 4, 0, 3)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [1, 3, 7, 8]

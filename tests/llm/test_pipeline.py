@@ -66,7 +66,7 @@ def test_stages_as_plain_versions(spark, tmp_path):
     before, after = kept[1]
     assert {r[0] for r in after} == {k for k, n, c in components(before) if k == c} and ids[1] >= {9000} and not ids[1] & {9001, 9002}
     before, after = kept[2]
-    assert [r[1] for r in after] == repeats(before, 400)[1] and all(passage not in r[1] for r in after)
+    assert [r[1] for r in after] == repeats(before, corpus_pipeline.PASSAGE)[1] and all(passage not in r[1] for r in after)
     before, after = kept[3]
     leaky = {r[0] for r in before if any(decontaminate.normal(t) in decontaminate.normal(r[1]) for _, t in items)}
     assert 9020 in leaky and {r[0] for r in before} - {r[0] for r in after} >= leaky and len(before) - len(after) <= len(leaky) + 2

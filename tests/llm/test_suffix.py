@@ -42,3 +42,11 @@ def test_texts_lose_exactly_the_repeats(odd, odd_rows):
 
 def test_empty_table(nothing):
     assert suffix.remove_repeats(nothing).collect() == []
+
+
+@pytest.mark.parametrize("length", [60, 400])
+def test_remaining_text_beside_the_digests(odd, odd_rows, length):
+    found = suffix.remove_repeats(odd, length=length, kept="text").collect()
+    wanted, texts = brute(odd_rows, length)
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == wanted
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(((row[0], t or "") for row, t in zip(odd_rows, texts)), key=repr)
