@@ -62,10 +62,8 @@ def user_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(*totals())
 
 
-def product_totals(events: DataFrame, approximate: bool = False) -> DataFrame:
-    """Streams use the HyperLogLog count (2 % relative error), whose state is bounded."""
-    users = F.approx_count_distinct("user_id", 0.02) if approximate else F.countDistinct("user_id")
-    return events.groupBy("product_id").agg(*totals(), users.alias("unique_users"))
+def product_totals(events: DataFrame) -> DataFrame:
+    return events.groupBy("product_id").agg(*totals(), F.countDistinct("user_id").alias("unique_users"))
 
 
 def global_totals(events: DataFrame) -> DataFrame:
@@ -145,27 +143,29 @@ def user_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def running_means(events: DataFrame, columns: tuple[str, ...] = ("dwell_time", "scroll_depth"), key: str = "user_id") -> DataFrame:
+def running_means(events: DataFrame, columns: tuple[str, ...] = ("dwell_time", "scroll_depth"), key: str = "user_id", before: DataFrame | None = None) -> DataFrame:
     """Final value of the online mean ((avg * (n - 1)) + x) / n over a key's views, n counting every view.
 
-    A view without x advances n and leaves the mean, so x_i is kept with weight 1/n_i times the product of
-    (n_j - 1) / n_j over the later views that have one. The logarithms of that product are summed over ranges;
-    no key's views are folded in one task.
+    Every view is an affine map of the mean. Composed, they keep x_i with weight 1/n_i times the product of (n_j - 1) / n_j over
+    the later views that have one (a view without x advances n and leaves the mean), and the mean ``before`` (key,
+    total_views, avg_*), with which a stream goes on, with the product over all of them. The logarithms of that product are
+    summed over ranges; no key's views are folded in one task.
     """
     views = events.where(F.col("event_type") == "view").select(key, "ts", "event_id", *columns)
-    numbered = running(views, ["ts", "event_id"], {"view_no": F.lit(1)}, by=[key])
-    n = F.col("view_no")
-    shrink = {
-        f"l_{c}": F.when(F.col(c).isNotNull() & (F.col(c) != 0) & (n > 1), F.log((n - 1) / n)).otherwise(F.lit(0.0)) for c in columns
-    }
+    numbered = running(views, ["ts", "event_id"], {"_no": F.lit(1)}, by=[key])
+    if before is None:
+        numbered = numbered.withColumns({"_earlier": F.lit(0), **{f"_mean_{c}": F.lit(0.0) for c in columns}})
+    else:
+        known = before.select(F.col(key).alias("_key"), F.col("total_views").alias("_earlier"), *[F.col(f"avg_{c}").alias(f"_mean_{c}") for c in columns])
+        numbered = numbered.join(known, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").fillna(0, ["_earlier", *[f"_mean_{c}" for c in columns]])
+    n = F.col("_no") + F.col("_earlier")
+    has = {c: F.col(c).isNotNull() & (F.col(c) != 0) for c in columns}
+    shrink = {f"l_{c}": F.when(has[c] & (n > 1), F.log((n - 1) / n)).otherwise(F.lit(0.0)) for c in columns}
     weighed = running(numbered, ["ts", "event_id"], shrink, by=[key], totals=True)
-    kept = {
-        c: F.coalesce(
-            F.sum(F.when(F.col(c).isNotNull() & (F.col(c) != 0), F.col(c) / n * F.exp(F.col(f"l_{c}_total") - F.col(f"l_{c}")))), F.lit(0.0)
-        ).alias(f"avg_{c}")
-        for c in columns
-    }
-    return weighed.groupBy(key).agg(F.count(F.lit(1)).alias("total_views"), *kept.values())
+    own = {c: F.sum(F.when(has[c], F.col(c) / n * F.exp(F.col(f"l_{c}_total") - F.col(f"l_{c}")))) for c in columns}
+    carried = {c: F.max(F.col(f"_mean_{c}") * F.exp(f"l_{c}_total")) for c in columns}
+    means = [(F.coalesce(own[c], F.lit(0.0)) + carried[c]).alias(f"avg_{c}") for c in columns]
+    return weighed.groupBy(key).agg(F.max(n).cast("long").alias("total_views"), *means)
 
 
 def device_preferences(events: DataFrame) -> DataFrame:

@@ -12,21 +12,21 @@ from shoplens.functions.scalars import count_text, exact_mean, lookup
 from shoplens.operators.ordering import first_rows, nearest_percentiles
 from shoplens.schemas import ALERT_RULES, COOLDOWN_SECONDS, ROLLBACKS_PER_HOUR
 
-# fixed values
 ACTIONS = {
-    ("latency_p95", "critical"): "Consider immediate rollback to previous model version",
-    ("latency_p95", "warning"): "Monitor closely and investigate performance issues",
-    ("error_rate", "critical"): "Immediate rollback recommended - high error rate detected",
-    ("error_rate", "warning"): "Investigate error causes and monitor closely",
-    ("ctr_drop", "critical"): "Model performance severely degraded - rollback recommended",
-    ("ctr_drop", "warning"): "Monitor recommendation quality and user engagement",
+    ("latency_p95", "critical"): "Roll back unless the slow requests have another known cause",
+    ("latency_p95", "warning"): "Look at the slowest requests and keep the window under watch",
+    ("error_rate", "critical"): "Roll back now: too many requests fail",
+    ("error_rate", "warning"): "Find out which requests fail",
+    ("ctr_drop", "critical"): "Roll back: users have stopped clicking what they are shown",
+    ("ctr_drop", "warning"): "Compare the lists shown with those of the baseline period",
 }
+# fixed values
 TRIGGERS = {"latency_p95": "latency_breach", "error_rate": "error_rate_spike", "ctr_drop": "ctr_degradation"}
 BASELINE_CTR = 0.05
 ADVICE = {
-    "latency": "Consider optimizing model inference latency",
-    "errors": "Investigate and reduce error rate",
-    "fine": "System performance is within acceptable thresholds",
+    "latency": "requests take too long: profile the serving path",
+    "errors": "too many requests fail: read the error log",
+    "fine": "nothing to do",
 }
 TWO_SIGMA, CONVERSION_DROP = 2.0, 0.15
 

@@ -128,7 +128,7 @@ def summarise(results: DataFrame, threshold: float = schemas.QUALITY_THRESHOLD)
     scored = results.groupBy("table_name").agg(
         F.max("total_rows").alias("total_rows"),
         (F.count_if(F.col("success")) / F.count(F.lit(1))).alias("quality_score"),
-        F.array_sort(F.collect_list(F.when(~F.col("success"), F.concat(F.lit("Expectation '"), "rule", F.lit("' failed")))))
+        F.array_sort(F.collect_list(F.when(~F.col("success"), F.concat(F.lit("Rule '"), "rule", F.lit("' is broken")))))
         .alias("validation_errors"),
     )
     passed = F.col("quality_score") >= threshold

@@ -84,33 +84,30 @@ def _(shop):
 
 
 MAPS = """
-uix AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM interactions)),
-iix AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS item_idx FROM
-        (SELECT DISTINCT product_id FROM products WHERE stock_quantity > 0))"""
+uix AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM users),
+iix AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS item_idx FROM products)"""
 
 
-def stocked_maps(shop):
-    return J.index_maps(
-        shop.interactions
-    )[0], J.dense_index(shop.products.where("stock_quantity > 0"), "product_id", "item_idx")
+def known_maps(shop):
+    """Indices of the users and products that the shop knows."""
+    return J.dense_index(shop.users, "user_id", "user_idx"), J.dense_index(shop.products, "product_id", "item_idx")
 
 
 @query(
-    "d7_index_join", "products interactions",
-    f"WITH {MAPS} SELECT user_idx, item_idx, rating FROM interactions JOIN uix USING (user_id) JOIN iix USING (product_id)",
+    "d7_index_join", "users products raw_interactions",
+    f"WITH {MAPS} SELECT user_idx, item_idx, rating FROM raw_interactions JOIN uix USING (user_id) JOIN iix USING (product_id)",
 )
 def _(shop):
-    users, items = stocked_maps(shop)
-    return J.to_indices(shop.interactions.select("user_id", "product_id", "rating"), users, items).select("user_idx", "item_idx", "rating")
+    return J.to_indices(shop.raw_interactions.select("user_id", "product_id", "rating"), *known_maps(shop)).select("user_idx", "item_idx", "rating")
 
 
 @query(
-    "d7_unmatched", "products interactions",
+    "d7_unmatched", "users products raw_interactions",
     f"""WITH {MAPS} SELECT count(*) AS interactions, count(*) FILTER (user_idx IS NULL OR item_idx IS NULL) AS dropped
-FROM interactions LEFT JOIN uix USING (user_id) LEFT JOIN iix USING (product_id)""",
+FROM raw_interactions LEFT JOIN uix USING (user_id) LEFT JOIN iix USING (product_id)""",
 )
 def _(shop):
-    return J.unmatched(shop.interactions, *stocked_maps(shop))
+    return J.unmatched(shop.raw_interactions, *known_maps(shop))
 
 
 @query(

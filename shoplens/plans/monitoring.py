@@ -134,8 +134,8 @@ h AS (SELECT avg(metric_value) FILTER (metric_name = 'latency_ms') AS lat, count
   FROM metrics WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 60 MINUTE AND ts <= TIMESTAMP '2024-01-31')
 SELECT count(*) AS total_alerts, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning,
 (SELECT string_agg(alert_id, ',' ORDER BY ts, alert_id) FROM t) AS recent_alerts,
-(SELECT CASE WHEN lat > 200 AND err > 2 THEN 'Consider optimizing model inference latency; Investigate and reduce error rate' WHEN lat > 200 THEN 'Consider optimizing model inference latency'
-  WHEN err > 2 THEN 'Investigate and reduce error rate' ELSE 'System performance is within acceptable thresholds' END FROM h) AS advice FROM l""",
+(SELECT CASE WHEN lat > 200 AND err > 2 THEN '{M.ADVICE["latency"]}; {M.ADVICE["errors"]}' WHEN lat > 200 THEN '{M.ADVICE["latency"]}'
+  WHEN err > 2 THEN '{M.ADVICE["errors"]}' ELSE '{M.ADVICE["fine"]}' END FROM h) AS advice FROM l""",
 )
 def _(shop):
     return M.report(found(shop, "60 minutes"), shop.metrics, shop.stream_now)

@@ -150,7 +150,7 @@ def _(shop):
     "c8_validation_results", VIEWS,
     f"""WITH {CATEGORIES_SQL}, {SUITE_SQL}, s AS (SELECT table_name, max(total_rows) AS total_rows,
 CAST(count(*) FILTER (success) AS DOUBLE) / count(*) AS quality_score,
-coalesce(string_agg('Expectation ''' || rule || ''' failed', '; ' ORDER BY rule) FILTER (NOT success), '') AS validation_errors
+coalesce(string_agg('Rule ''' || rule || ''' is broken', '; ' ORDER BY rule) FILTER (NOT success), '') AS validation_errors
 FROM results GROUP BY 1)
 SELECT table_name, total_rows, quality_score, validation_errors,
 CASE WHEN quality_score >= 0.95e0 THEN total_rows ELSE 0 END AS valid_rows,
@@ -200,20 +200,20 @@ def _(shop):
 
 
 @query(
-    "c12_references", "users interactions products",
+    "c12_references", "users raw_interactions products",
     f"""WITH {CATEGORIES_SQL}
-SELECT 'interaction user' AS reference, count(*) AS orphan_rows, count(DISTINCT user_id) AS orphan_values FROM interactions
-WHERE user_id NOT IN (SELECT user_id FROM users WHERE income_level <> 'luxury')
-UNION ALL SELECT 'interaction product', count(*), count(DISTINCT product_id) FROM interactions
-WHERE product_id NOT IN (SELECT product_id FROM products WHERE stock_quantity > 0)
+SELECT 'interaction user' AS reference, count(*) AS orphan_rows, count(DISTINCT user_id) AS orphan_values FROM raw_interactions
+WHERE user_id NOT IN (SELECT user_id FROM users)
+UNION ALL SELECT 'interaction product', count(*), count(DISTINCT product_id) FROM raw_interactions
+WHERE product_id NOT IN (SELECT product_id FROM products)
 UNION ALL SELECT 'parent category', count(*), count(DISTINCT parent_category) FROM categories WHERE level = 2
 AND parent_category NOT IN (SELECT category_id FROM categories WHERE level = 1)""",
 )
 def _(shop):
     cats = categories(shop)
     parts = [
-        Q.references(shop.interactions, shop.users.where("income_level <> 'luxury'"), "user_id", "user_id", "interaction user"),
-        Q.references(shop.interactions, shop.products.where("stock_quantity > 0"), "product_id", "product_id", "interaction product"),
+        Q.references(shop.raw_interactions, shop.users, "user_id", "user_id", "interaction user"),
+        Q.references(shop.raw_interactions, shop.products, "product_id", "product_id", "interaction product"),
         Q.references(cats.where("level = 2"), cats.where("level = 1"), "parent_category", "category_id", "parent category"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

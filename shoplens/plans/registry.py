@@ -80,8 +80,13 @@ raw_products AS (
     CASE WHEN product_id % 10 <> 0 THEN review_count END AS review_count,
     CASE WHEN product_id % 14 <> 0 THEN stock_quantity END AS stock_quantity
   FROM products)""",
+    "raw_interactions": """
+raw_interactions AS (
+  SELECT * REPLACE (CASE WHEN session_id % 13 = 0 THEN -user_id ELSE user_id END AS user_id,
+    CASE WHEN (session_id + line) % 11 = 0 THEN product_id + 1000000000 ELSE product_id END AS product_id,
+    CASE WHEN product_id % 5 <> 0 THEN rating END AS rating) FROM interactions)""",
 }
-NEEDS = {"raw_users": ["users"], "raw_products": ["products"]}
+NEEDS = {"raw_users": ["users"], "raw_products": ["products"], "raw_interactions": ["interactions"]}
 
 
 def _with(views: str, sql: str) -> str:

@@ -162,15 +162,15 @@ def _(shop):
 
 
 @query(
-    "q10_filled_items", "interactions products",
+    "q10_filled_items", "raw_interactions products",
     """WITH p AS (SELECT product_id, category, CASE WHEN product_id % 9 <> 0 THEN price END AS price FROM products),
-r AS (SELECT product_id, avg(rating) AS r FROM interactions WHERE product_id % 5 <> 0 AND rating IS NOT NULL GROUP BY 1),
+r AS (SELECT product_id, avg(rating) AS r FROM raw_interactions WHERE rating IS NOT NULL GROUP BY 1),
 m AS (SELECT category, avg(r) AS cr, median(price) AS cp FROM p LEFT JOIN r USING (product_id) GROUP BY 1)
 SELECT product_id, category, round(coalesce(r, cr), 6) AS item_rating, round(coalesce(price, cp), 6) AS price FROM p LEFT JOIN r USING (product_id) JOIN m USING (category)""",
 )
 def _(shop):
     gaps = shop.products.withColumn("price", F.when(F.col("product_id") % 9 != 0, F.col("price"))).select("product_id", "category", "price")
-    out = T.filled_items(gaps, shop.interactions.where("product_id % 5 <> 0"))
+    out = T.filled_items(gaps, shop.raw_interactions)
     return out.withColumns({c: F.round(c, 6) for c in ("item_rating", "price")})
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplens import schemas
-from shoplens.functions.scalars import stamp
+from shoplens.functions.scalars import exact_sum, stamp
 from shoplens.operators import clickstream as C
 from shoplens.operators import monitor as M
+from shoplens.plans.aggregates import DISTRIBUTIONS
 from shoplens.plans.clickstream import ENGAGEMENT, ENRICHED, ENRICHED_COLUMNS, FOLD, LATEST, SESSIONS, STAMP, TOTALS, stamped
 from shoplens.plans.registry import query
 from shoplens.sources.sinks import run_folder
 from shoplens.sources.tables import as_clickstream
 from shoplens.streaming import features as S
 from shoplens.streaming import sinks, sources
+from shoplens.streaming.keyed import SKETCH_BOUND, BucketTable, MergedTable, finished_totals, merge_totals, partial_totals
 
 EVENT = T.StructType(
     [
@@ -32,14 +34,27 @@ def stream(shop):
     return as_clickstream(sources.parquet_events(shop.spark, f"{shop.folder}/events*.parquet", schemas.SUPPLIED["events"]))
 
 
+def in_files(shop, files: int = 10):
+    """The same stream from several files, one per batch."""
+    folder = run_folder(shop.spark, "files")
+    events = shop.table("events")
+    events.repartition(files).write.parquet(folder)
+    return as_clickstream(sources.parquet_events(shop.spark, folder, events.schema, max_files=1))
+
+
 def plain(df):
     return stamped(df.select(*COLUMNS.split(", ")), "ts")
 
 
-def topic(shop, parts: int = 4) -> str:
+# Files of a topic: their number and their size both grow with the square root of the events.
+FILES = "CAST(ceil(sqrt(count(*)) / 25e0) AS INT)"
+
+
+def topic(shop) -> str:
     """The events as a topic of keyed JSON records in several files."""
     folder = run_folder(shop.spark, "topic")
-    sources.encode(shop.clickstream, "event_id").repartition(parts, "key").write.json(folder)
+    files = shop.clickstream.agg(F.ceil(F.sqrt(F.count(F.lit(1)).cast("double")) / 25.0)).first()[0]
+    sources.encode(shop.clickstream, "event_id").repartition(max(1, files)).write.json(folder)
     return folder
 
 
@@ -50,7 +65,7 @@ def _(shop):
     return plain(sinks.appended(shop.spark, folder))
 
 
-@query("a8_bounded_consume", "clickstream", "SELECT count(*) AS rows, 4 AS batches, count(DISTINCT event_id) AS events FROM clickstream")
+@query("a8_bounded_consume", "clickstream", f"SELECT count(*) AS rows, {FILES} AS batches, count(DISTINCT event_id) AS events FROM clickstream")
 def _(shop):
     folder = run_folder(shop.spark, "bounded")
     records = sources.file_records(shop.spark, topic(shop), max_files=1)
@@ -72,22 +87,50 @@ def _(shop):
     )
 
 
+FEATURES = "count(*) AS events, count(*) FILTER (event_type = 'purchase') AS purchases, CAST(sum(CAST(dwell_time AS DECIMAL(18,2))) AS DOUBLE) AS dwell_time FROM clickstream"
+
+
+def routed(shop):
+    """The events, one file per batch, sent to two appended tables and two tables of running totals."""
+    folder = run_folder(shop.spark, "routes")
+    totals = {
+        f"{name}-features": MergedTable(f"{folder}/{name}-features", lambda df, key=key: partial_totals(df, [key]), merge_totals([key]))
+        for name, key in (("user", "user_id"), ("product", "product_id"))
+    }
+    outputs = {"raw": lambda df: df, "processed": C.enrich, **totals}
+    sinks.run_available(in_files(shop), sinks.route(outputs, folder), f"{folder}/checkpoint")
+    return folder, {name: finished_totals(table.read(shop.spark)) for name, table in totals.items()}
+
+
 @query(
     "a10_topic_routing", "clickstream",
-    """SELECT 'raw' AS topic, count(*) AS rows FROM clickstream UNION ALL SELECT 'processed', count(*) FROM clickstream
-UNION ALL SELECT 'user-features', count(DISTINCT user_id) FROM clickstream UNION ALL SELECT 'product-features', count(DISTINCT product_id) FROM clickstream""",
+    f"""SELECT 'raw' AS topic, count(*) AS rows, {FEATURES} UNION ALL SELECT 'processed', count(*), {FEATURES}
+UNION ALL SELECT 'user-features', count(DISTINCT user_id), {FEATURES} UNION ALL SELECT 'product-features', count(DISTINCT product_id), {FEATURES}""",
 )
 def _(shop):
-    folder = run_folder(shop.spark, "routes")
-    outputs = {"raw": lambda df: df, "processed": C.enrich, "user-features": C.user_totals, "product-features": C.product_totals}
-    sinks.run_available(stream(shop), sinks.route(outputs, folder), f"{folder}/checkpoint")
+    """Rows and totals of every topic; those of the feature topics add up their running totals."""
+    folder, features = routed(shop)
+    one = F.lit(1).cast("long")
+    events = {name: shop.spark.read.parquet(f"{folder}/{name}") for name in ("raw", "processed")}
+    parts = {name: df.select(one.alias("e"), F.when(F.col("event_type") == "purchase", one).otherwise(0).alias("p"), F.col("dwell_time").alias("d")) for name, df in events.items()}
+    parts |= {name: df.select(F.col("total_events").alias("e"), F.col("purchase_count").alias("p"), F.col("total_dwell_time").alias("d")) for name, df in features.items()}
     out = None
-    for name in outputs:
-        part = shop.spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("topic"), "rows")
+    for name, df in parts.items():
+        part = df.agg(F.count(F.lit(1)).alias("rows"), F.sum("e").alias("events"), F.sum("p").alias("purchases"), exact_sum("d").alias("dwell_time")).select(F.lit(name).alias("topic"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("a10_user_features", "clickstream", f"SELECT user_id, {TOTALS} FROM clickstream GROUP BY 1")
+def _(shop):
+    return stamped(routed(shop)[1]["user-features"], "last_activity")
+
+
+@query("a10_product_features", "clickstream", f"SELECT product_id, {TOTALS} FROM clickstream GROUP BY 1")
+def _(shop):
+    return stamped(routed(shop)[1]["product-features"], "last_activity")
+
+
 @query("p1_stream_enrichment", "clickstream", ENRICHED)
 def _(shop):
     folder = run_folder(shop.spark, "enriched")
@@ -106,16 +149,47 @@ def _(shop):
     return stamped(updated(shop, C.user_totals(stream(shop)), ["user_id"]), "last_activity")
 
 
-@query("p3_stream_product_totals", "clickstream", f"SELECT product_id, {TOTALS} FROM clickstream GROUP BY 1")
+def running_totals(shop, keys, audience, spread=None):
+    """Totals merged from one delta per file."""
+    folder = run_folder(shop.spark, "totals")
+    table = MergedTable(folder, lambda df: partial_totals(df, keys, audience, spread), merge_totals(keys))
+    sinks.run_available(in_files(shop), table, f"{folder}/checkpoint")
+    return stamped(finished_totals(table.read(shop.spark), list(spread or {})), "last_activity")
+
+
+def within_bound(totals, exact, name):
+    """The exact count in place of the sketch's estimate, the estimate's error bound, and whether it was kept."""
+    kept = F.abs(totals[f"unique_{name}_id"] - exact) <= F.ceil(exact * SKETCH_BOUND)
+    return {f"unique_{name}s": exact, f"{name}s_within_bound": kept, "bound": F.lit(round(SKETCH_BOUND, 5))}
+
+
+@query(
+    "p3_stream_product_totals", "clickstream",
+    f"""SELECT product_id, {TOTALS}, count(DISTINCT user_id) AS unique_users, true AS users_within_bound, {round(SKETCH_BOUND, 5)}e0 AS bound
+FROM clickstream GROUP BY 1""",
+)
 def _(shop):
-    """The approximate audience is left out of the comparison."""
-    rows = updated(shop, C.product_totals(stream(shop), approximate=True), ["product_id"]).drop("unique_users")
-    return stamped(rows, "last_activity")
+    """The audience is a union of sketches over the batches; beside it stands the exact count that it is held against."""
+    found = running_totals(shop, ["product_id"], ["user_id"])
+    exact = shop.clickstream.groupBy(F.col("product_id").alias("_p")).agg(F.countDistinct("user_id").alias("_n"))
+    joined = found.join(exact, found["product_id"].eqNullSafe(exact["_p"]), "left")
+    return joined.withColumns(within_bound(joined, F.col("_n"), "user")).drop("_p", "_n", "unique_user_id")
 
 
-@query("p4_stream_global_totals", "clickstream", f"SELECT {TOTALS} FROM clickstream")
+@query(
+    "p4_stream_global_totals", "clickstream",
+    f"""WITH d AS ({DISTRIBUTIONS}) SELECT {TOTALS}, count(DISTINCT user_id) AS unique_users, count(DISTINCT product_id) AS unique_products,
+true AS users_within_bound, true AS products_within_bound, {round(SKETCH_BOUND, 5)}e0 AS bound,
+(SELECT counts FROM d WHERE distribution = 'event_type') AS event_type_distribution, (SELECT counts FROM d WHERE distribution = 'device_type') AS device_type_distribution,
+(SELECT counts FROM d WHERE distribution = 'hour') AS hour_distribution FROM clickstream""",
+)
 def _(shop):
-    return stamped(updated(shop, stream(shop).groupBy().agg(*C.totals()), []), "last_activity")
+    spread = {"event_type": F.col("event_type"), "device_type": F.col("device_type"), "hour": F.format_string("%02d", F.hour("ts"))}
+    found = running_totals(shop, [], ["user_id", "product_id"], spread)
+    counts = shop.clickstream.agg(F.struct(F.countDistinct("user_id").alias("u"), F.countDistinct("product_id").alias("p")).alias("c")).scalar()
+    found = found.withColumn("_c", counts)
+    columns = within_bound(found, F.col("_c.u"), "user") | within_bound(found, F.col("_c.p"), "product")
+    return found.withColumns(columns).drop("_c", "unique_user_id", "unique_product_id")
 
 
 @query(
@@ -170,12 +244,12 @@ def _(shop):
 
 @query("p12_stream_upsert", "clickstream", LATEST)
 def _(shop):
+    """Ten batches; each rewrites the buckets of the users it holds."""
     folder = run_folder(shop.spark, "upsert")
-    records = sources.file_records(shop.spark, topic(shop), max_files=1)
-    events = sources.decode(records, EVENT)
-    handler = sinks.upsert(folder + "/table", C.user_rows, lambda old, new: C.upsert_latest(old, new, "user_id"))
-    sinks.run_available(events, handler, f"{folder}/checkpoint")
-    return stamped(sinks.current_version(shop.spark, folder + "/table"), "last_activity")
+    events = in_files(shop)
+    table = BucketTable(f"{folder}/table", "user_id", C.user_rows(shop.clickstream).schema, C.user_rows, lambda old, new: C.upsert_latest(old, new, "user_id"))
+    sinks.run_available(events, table, f"{folder}/checkpoint")
+    return stamped(table.read(shop.spark), "last_activity")
 
 
 @query(
@@ -183,13 +257,14 @@ def _(shop):
     FOLD.format(key="user_id") + " SELECT k AS user_id, total AS total_views, round(d, 9) AS avg_dwell_time, round(s, 9) AS avg_scroll_depth FROM f WHERE n = total",
 )
 def _(shop):
-    previous = shop.spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
-    S.use_rocksdb(shop.spark, bounded=True)
-    try:
-        rows = updated(shop, S.running_means(stream(shop)), ["user_id"])
-    finally:
-        shop.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", previous)
-    return rows.withColumns({c: F.round(c, 9) for c in ("avg_dwell_time", "avg_scroll_depth")})
+    """Two halves of the month, the second going on from the means of the first."""
+    folder = run_folder(shop.spark, "means")
+    events, half = shop.clickstream, F.lit("2024-01-15").cast("timestamp")
+    table = S.means_table(f"{folder}/table")
+    for part, rows in enumerate((events.where(F.col("ts") < half), events.where(F.col("ts") >= half))):
+        rows.write.parquet(f"{folder}/in/part={part}")
+        sinks.run_available(sources.parquet_events(shop.spark, f"{folder}/in", events.schema), table, f"{folder}/checkpoint")
+    return table.read(shop.spark).drop("last_activity").withColumns({c: F.round(c, 9) for c in ("avg_dwell_time", "avg_scroll_depth")})
 
 
 @query("p16_late_data", "clickstream", f"SELECT {STAMP.format('time_bucket(INTERVAL 60 MINUTE, ts)')} AS window_start, count(*) AS n FROM clickstream GROUP BY 1")
@@ -197,12 +272,12 @@ def _(shop):
     """A second pass over the first day's events arrives a month late and changes nothing."""
     folder = run_folder(shop.spark, "late")
     rows = shop.clickstream.select("event_id", "ts")
-    rows.coalesce(1).write.parquet(f"{folder}/in/part=1")
+    rows.write.parquet(f"{folder}/in/part=1")
     counts = S.watermarked(sources.parquet_events(shop.spark, f"{folder}/in", rows.schema)).groupBy(F.window("ts", "60 minutes").alias("w")).agg(
         F.count(F.lit(1)).alias("n")
     ).select(F.col("w.start").alias("window_start"), "n")
     sinks.update_table(counts, folder)
-    rows.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp")).coalesce(1).write.parquet(f"{folder}/in/part=2")
+    rows.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp")).write.parquet(f"{folder}/in/part=2")
     sinks.update_table(counts, folder)
     return stamped(sinks.latest_updates(shop.spark, folder, ["window_start"]), "window_start")
 
@@ -228,16 +303,20 @@ def _(shop):
     return sinks.appended(shop.spark, folder)
 
 
-@query("p19_stream_report", "clickstream", "SELECT count(*) AS events_in, count(*) AS processed, 0 AS errors, 100e0 AS success_pct FROM clickstream")
+@query(
+    "p19_stream_report", "clickstream", f"SELECT count(*) AS events_in, {FILES} AS batches, count(*) AS processed, 0 AS errors, 100e0 AS success_pct FROM clickstream"
+)
 def _(shop):
+    """Every batch of the run, as a listener wrote it to a table."""
     folder = run_folder(shop.spark, "report")
     events = sources.decode(sources.file_records(shop.spark, topic(shop), max_files=1), EVENT)
-    done = sinks.append_table(events, folder)
-    seen = sinks.progress_table(done).agg(F.sum("input_rows").alias("events_in"))
+    with sinks.logged(shop.spark, f"{folder}/progress") as log:
+        batches = log.of(sinks.append_table(events, folder))
+    seen = batches.where("input_rows > 0").agg(F.sum("input_rows").alias("events_in"), F.count(F.lit(1)).cast("int").alias("batches"))
     bad = F.col(sources.CORRUPT).isNotNull()
     wrote = shop.spark.read.parquet(f"{folder}/data").agg(F.struct(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("bad")).alias("r")).scalar()
     return seen.withColumn("_r", wrote).select(
-        "events_in", F.col("_r.ok").alias("processed"), F.col("_r.bad").cast("int").alias("errors"), (F.col("_r.ok") / F.col("events_in") * 100).alias("success_pct")
+        "events_in", "batches", F.col("_r.ok").alias("processed"), F.col("_r.bad").cast("int").alias("errors"), (F.col("_r.ok") / F.col("events_in") * 100).alias("success_pct")
     )
 
 
@@ -276,19 +355,23 @@ def _(shop):
 HAVING count(*) FILTER (metric_name = 'error') / greatest(count(*) FILTER (metric_name = 'latency_ms'), 1) * 100e0 > 5""",
 )
 def _(shop):
-    """Alerts of each batch of windowed error rates go to a callback."""
+    """Alerts on closed windows go to a callback. A window reaches it once, when the watermark has passed its end, so an alert
+    that later samples would lift is never raised. One sample after the end of the month closes the last windows."""
     folder = run_folder(shop.spark, "callback")
-    events = sources.parquet_events(shop.spark, f"{shop.folder}/events*.parquet", schemas.SUPPLIED["events"])
-    failed = F.col("event_type") == "error"
-    samples = events.select("ts", F.when(failed, "error").otherwise("latency_ms").alias("metric_name"))
-    rates = M.error_rates(M.in_windows(S.watermarked(samples), "60 minutes"), ["window_start"])
+    samples = shop.metrics.select("ts", "metric_name")
+    samples.write.parquet(f"{folder}/in/part=1")
+    stream_of = sources.parquet_events(shop.spark, f"{folder}/in", samples.schema)
+    rates = M.error_rates(S.watermarked(stream_of).withColumn("w", F.window("ts", "60 minutes")), ["w"]).withColumn("window_start", F.col("w.start"))
 
     def callback(df, batch):
         values = df.select("window_start", F.lit("error_rate").alias("metric_name"), F.col("error_rate").alias("value"))
         sinks.write_batch(M.alerts(values).where("severity = 'critical'"), f"{folder}/data", batch)
 
-    sinks.run_available(rates, callback, f"{folder}/checkpoint", "update")
-    return shop.spark.read.parquet(f"{folder}/data").select(stamp("ts").alias("ts"), "severity").distinct()
+    sinks.run_available(rates, callback, f"{folder}/checkpoint")
+    last = samples.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    last.withColumn("metric_name", F.lit("latency_ms")).write.parquet(f"{folder}/in/part=2")
+    sinks.run_available(rates, callback, f"{folder}/checkpoint")
+    return shop.spark.read.parquet(f"{folder}/data").select(stamp("ts").alias("ts"), "severity")
 
 
 @query(

@@ -16,6 +16,13 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more. A session without a JVM of its own leaves it to the store's retention."""
+    if hasattr(spark, "_jvm"):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def nested_to_json(df: DataFrame) -> DataFrame:
     """CSV holds flat values only: arrays, maps and structs become JSON text."""
     nested = (T.ArrayType, T.MapType, T.StructType)

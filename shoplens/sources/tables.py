@@ -221,3 +221,15 @@ class Shop:
             F.when(key % 10 != 0, F.col("review_count")).alias("review_count"),
             F.when(key % 14 != 0, F.col("stock_quantity")).alias("stock_quantity"),
         )
+
+    @cached_property
+    def raw_interactions(self) -> DataFrame:
+        """Interactions as logged: some users and products are not in their tables, and a fifth of the products is never rated."""
+        user, product, session = F.col("user_id"), F.col("product_id"), F.col("session_id")
+        return self.interactions.withColumns(
+            {
+                "user_id": F.when(session % 13 == 0, -user).otherwise(user),
+                "product_id": F.when((session + F.col("line")) % 11 == 0, product + 1_000_000_000).otherwise(product),
+                "rating": F.when(product % 5 != 0, F.col("rating")),
+            }
+        )

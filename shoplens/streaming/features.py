@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shoplens.functions.scalars import exact_sum, type_count
-from shoplens.operators.clickstream import GLOBAL_SLIDE, GLOBAL_WINDOW, PRODUCT_WINDOW, SESSION_GAP_MINUTES, global_windows, product_windows
+from shoplens.operators.clickstream import (
+    GLOBAL_SLIDE, GLOBAL_WINDOW, PRODUCT_WINDOW, SESSION_GAP_MINUTES, global_windows, live_state, product_windows, running_means,
+)
 from shoplens.schemas import STATE_TTL_DAYS
+from shoplens.streaming.keyed import BUCKETS, BucketTable
 
 LATENESS = "10 minutes"
 
@@ -50,54 +49,31 @@ def with_attributes(events: DataFrame, users: DataFrame, products: DataFrame) ->
 
 MEANS = T.StructType(
     [
-        T.StructField("user_id", T.LongType()), T.StructField("total_views", T.LongType()),
-        T.StructField("avg_dwell_time", T.DoubleType()), T.StructField("avg_scroll_depth", T.DoubleType()),
+        T.StructField("user_id", T.LongType()), T.StructField("total_views", T.LongType()), T.StructField("avg_dwell_time", T.DoubleType()),
+        T.StructField("avg_scroll_depth", T.DoubleType()), T.StructField("last_activity", T.TimestampType()),
     ]
 )
 
 
-class RunningMeans(StatefulProcessor):
-    """Per user (views, mean dwell, mean scroll), folded view by view; unused state expires after ``STATE_TTL_DAYS``.
+def means_table(folder: str, buckets: int = BUCKETS) -> BucketTable:
+    """Per user (views, mean dwell, mean scroll) as a keyed table: the handler of a stream of events.
 
-    State is three numbers per user. A batch's views of one user arrive in chunks and are folded in time order;
-    the batch size is bounded by the source's limits.
+    The views of a batch are composed into one map per user by ``running_means``, ordered over ranges, so that a user with
+    a third of them is spread over a third of the tasks; the table then holds three numbers per user. A user without views
+    for STATE_TTL_DAYS before the batch's first view starts anew. Events of a user must not come before earlier batches'.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        state = T.StructType(
-            [T.StructField("views", T.LongType()), T.StructField("dwell", T.DoubleType()), T.StructField("scroll", T.DoubleType())]
-        )
-        self.state = handle.getValueState("means", state, STATE_TTL_DAYS * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        views, dwell, scroll = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for d, s in zip(batch["dwell_time"], batch["scroll_depth"]):
-            views += 1
-            if pd.notna(d) and d:
-                dwell = (dwell * (views - 1) + d) / views
-            if pd.notna(s) and s:
-                scroll = (scroll * (views - 1) + s) / views
-        self.state.update((int(views), float(dwell), float(scroll)))
-        yield pd.DataFrame({"user_id": [key[0]], "total_views": [views], "avg_dwell_time": [dwell], "avg_scroll_depth": [scroll]})
-
-    def close(self) -> None:
-        pass
-
-
-def running_means(events: DataFrame) -> DataFrame:
-    """Updated means of the users of each batch. Needs the RocksDB state store."""
-    views = events.where(F.col("event_type") == "view").select("user_id", "ts", "event_id", "dwell_time", "scroll_depth")
-    return views.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=RunningMeans(), outputStructType=MEANS, outputMode="Update", timeMode="ProcessingTime"
-    )
-
-
-def use_rocksdb(spark, bounded: bool = False) -> None:
-    """State on local disk instead of the heap. A bounded run must not start batches without data, which processing
-    time would otherwise trigger for ever."""
-    if bounded:
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
+    def views(events: DataFrame) -> DataFrame:
+        return events.where(F.col("event_type") == "view").select("user_id", "event_type", "ts", "event_id", "dwell_time", "scroll_depth")
+
+    def merge(stored: DataFrame, changes: DataFrame) -> DataFrame:
+        oldest = changes.agg(F.min("ts").alias("m")).scalar()
+        live = live_state(stored, oldest, STATE_TTL_DAYS)
+        seen = changes.groupBy("user_id").agg(F.max("ts").alias("last_activity"))
+        same = lambda a, b: a["user_id"].eqNullSafe(b["_user"])
+        renamed = seen.withColumnRenamed("user_id", "_user")
+        means = running_means(changes, before=live)
+        new = means.join(renamed, same(means, renamed)).drop("_user")
+        return new.unionByName(live.join(renamed.select("_user"), same(live, renamed), "left_anti"))
+
+    return BucketTable(folder, "user_id", MEANS, views, merge, buckets)

@@ -3,11 +3,15 @@ that is repeated after a failure replaces itself."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import threading
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from shoplens.streaming.keyed import BucketTable, MergedTable
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -56,54 +60,69 @@ def latest_updates(spark, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def route(outputs: Mapping[str, Callable[[DataFrame], DataFrame]], folder: str) -> Handler:
-    """One input to several tables: each output is derived from the batch, which is read once and kept while in use."""
+def route(outputs: Mapping[str, Callable[[DataFrame], DataFrame] | Handler], folder: str) -> Handler:
+    """One input to several tables: the batch is read once and kept while in use. An output is a derivation whose rows are
+    appended, or a keyed table that takes the batch itself."""
 
     def handle(df: DataFrame, batch: int) -> None:
         df.persist()
         try:
-            for name, derive in outputs.items():
-                write_batch(derive(df), f"{folder}/{name}", batch)
+            for name, output in outputs.items():
+                if isinstance(output, (MergedTable, BucketTable)):
+                    output(df, batch)
+                else:
+                    write_batch(output(df), f"{folder}/{name}", batch)
         finally:
             df.unpersist()
 
     return handle
 
 
-def upsert(folder: str, derive: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Handler:
-    """Keep a keyed table up to date: version n is version n-1 merged with batch n, written beside it.
+class ProgressLog(StreamingQueryListener):
+    """Appends the progress of every batch of a session's streams to a table; what waits in memory is at most ``keep`` rows."""
 
-    A reader takes the newest version that is complete; a repeated batch writes the same version again.
-    """
+    SCHEMA = "run string, batch bigint, input_rows bigint, seconds double, late_rows bigint"
 
-    def handle(df: DataFrame, batch: int) -> None:
-        changes = derive(df)
-        if batch > 0:
-            changes = merge(df.sparkSession.read.parquet(f"{folder}/version={batch - 1}"), changes)
-        else:
-            changes = merge(changes.limit(0), changes)
-        changes.write.mode("overwrite").parquet(f"{folder}/version={batch}")
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 50):
+        self.spark, self.folder, self.keep = spark, folder, keep
+        self.waiting: list[tuple] = []
+        self.ended: dict[str, threading.Event] = {}
 
-    return handle
+    def _write(self) -> None:
+        if self.waiting:
+            rows, self.waiting = self.waiting, []
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
 
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event())
 
-def current_version(spark, folder: str) -> DataFrame:
-    """The newest version; Spark prunes the older directories."""
-    versions = spark.read.parquet(folder)
-    newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        self.waiting.append((str(p.runId), p.batchId, p.numInputRows, p.durationMs.get("triggerExecution", 0) / 1000.0, late))
+        if len(self.waiting) >= self.keep:
+            self._write()
 
+    def onQueryIdle(self, event) -> None:
+        pass
 
-def progress_table(query: StreamingQuery) -> DataFrame:
-    """Rows and seconds of every batch of a finished or running query."""
-    rows = [
-        (p["batchId"], p["numInputRows"], float(p["durationMs"].get("triggerExecution", 0)) / 1000.0, sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]))
-        for p in query.recentProgress
-    ]
-    return query_session(query).createDataFrame(rows, "batch long, input_rows long, seconds double, late_rows long")
+    def onQueryTerminated(self, event) -> None:
+        self._write()
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
 
+    def of(self, query: StreamingQuery, seconds: float = 120.0) -> DataFrame:
+        """Batches of a finished query; its last events may still be on their way."""
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError(f"the end of stream {query.runId} has not been reported within {seconds:.0f} s")
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder).where(F.col("run") == str(query.runId)).drop("run")
 
-def query_session(query: StreamingQuery):
-    from pyspark.sql import SparkSession
 
-    return SparkSession.active()
+@contextmanager
+def logged(spark: SparkSession, folder: str) -> Iterator[ProgressLog]:
+    """A progress log that listens while the block runs."""
+    log = ProgressLog(spark, folder)
+    spark.streams.addListener(log)
+    try:
+        yield log
+    finally:
+        spark.streams.removeListener(log)

@@ -9,7 +9,9 @@ from shoplens.operators import monitor as M
 from shoplens.operators import ordering as O
 from shoplens.operators import profiling as P
 from shoplens.streaming import features as S
+from shoplens.functions.ordered import assign_ranges
 from shoplens.streaming import sinks, sources
+from shoplens.streaming.keyed import SKETCH_BOUND, BucketTable, MergedTable, finished_totals, merge_totals, partial_totals
 
 BASE = dt.datetime(2024, 1, 1)
 EVENTS = "event_id long, user_id long, product_id long, event_type string, ts timestamp, dwell_time double, scroll_depth double, device_type string, location string"
@@ -53,21 +55,130 @@ def test_running_mean_equals_the_fold(spark):
         assert got[user][0] == n and abs(got[user][1] - d) < 1e-9
 
 
-def test_stateful_running_mean_over_batches_equals_the_fold(spark, tmp_path):
+def test_means_table_over_batches_equals_the_fold(spark, tmp_path):
     rows = some_views(60)
-    folder = str(tmp_path)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    S.use_rocksdb(spark)
-    schema = spark.createDataFrame([], EVENTS).schema
-    for part in range(2):  # two runs with the state kept between them
-        spark.createDataFrame(rows[part * 30:part * 30 + 30], EVENTS).coalesce(1).write.parquet(f"{folder}/in/part={part}")
-        sinks.update_table(S.running_means(sources.parquet_events(spark, f"{folder}/in", schema)), folder)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
-    got = {r.user_id: (r.total_views, r.avg_dwell_time) for r in sinks.latest_updates(spark, folder, ["user_id"]).collect()}
-    for user, (n, d) in fold(rows).items():
+    table = S.means_table(str(tmp_path), buckets=4)
+    for part in range(3):
+        table(spark.createDataFrame(rows[part * 20:part * 20 + 20], EVENTS), part)
+    table(spark.createDataFrame(rows[40:], EVENTS), 2)  # the last batch once more
+    got = {r.user_id: (r.total_views, r.avg_dwell_time) for r in table.read(spark).collect()}
+    wanted = fold(rows)
+    assert got.keys() == wanted.keys()
+    for user, (n, d) in wanted.items():
         assert got[user][0] == n and abs(got[user][1] - d) < 1e-9
 
 
+def test_means_start_anew_after_the_expiry(spark, tmp_path):
+    table = S.means_table(str(tmp_path), buckets=2)
+    table(spark.createDataFrame([event(1, 1, 0, dwell=10.0), event(2, 2, 0, dwell=10.0)], EVENTS), 0)
+    late = 45 * 24 * 60
+    table(spark.createDataFrame([event(3, 1, late, dwell=90.0)], EVENTS), 1)
+    got = {r.user_id: (r.total_views, r.avg_dwell_time) for r in table.read(spark).collect()}
+    assert got[1] == (1, 90.0)
+
+
+def test_a_hot_user_s_views_are_spread_over_ranges(spark):
+    """A user with a third of all views lies in about a third of the ranges, none of which holds much more than its share."""
+    rows = [event(i, 1 if i % 3 == 0 else i, i) for i in range(3000)]
+    ranged = assign_ranges(spark.createDataFrame(rows, EVENTS), ["user_id", "ts", "event_id"], 64)
+    sizes = [r["count"] for r in ranged.where("user_id = 1").groupBy("_range").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 300
+
+
+def plain_totals(rows):
+    out = {}
+    for e in rows:
+        total = out.setdefault(e[2], [0, 0, set(), 0.0])
+        total[0] += 1
+        total[1] += e[3] == "view"
+        total[2].add(e[1])
+        total[3] += e[5] or 0.0
+    return {k: (n, v, len(u), round(d, 6)) for k, (n, v, u, d) in out.items()}
+
+
+def test_merged_totals_survive_compaction_and_repeated_batches(spark, tmp_path):
+    random.seed(5)
+    rows = [(i, random.randrange(40), random.randrange(5), random.choice(["view", "click", "purchase"]), BASE + dt.timedelta(minutes=i), random.choice([None, 1.5, 3.25]), 1.0, "mobile", "X") for i in range(600)]
+    table = MergedTable(str(tmp_path), lambda df: partial_totals(df, ["product_id"], ["user_id"], {"type": F.col("event_type")}), merge_totals(["product_id"]), compact_every=3)
+    for batch in range(10):
+        part = spark.createDataFrame(rows[batch * 60:batch * 60 + 60], EVENTS)
+        table(part, batch)
+        if batch in (0, 5, 9):
+            table(part, batch)  # a batch that is repeated, also one that was compacted, changes nothing
+    got = finished_totals(table.read(spark), ["type"]).collect()
+    wanted = plain_totals(rows)
+    assert {r.product_id: (r.total_events, r.view_count, r.unique_user_id, round(r.total_dwell_time, 6)) for r in got} == wanted
+    for r in got:
+        counts = {}
+        for e in rows:
+            if e[2] == r.product_id:
+                counts[e[3]] = counts.get(e[3], 0) + 1
+        assert r.type_distribution == ",".join(f"{k}:{n}" for k, n in sorted(counts.items()))
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "deltas").iterdir() if "=" in p.name)
+    assert kept[0] == 6 and kept[-1] == 9 and len(kept) == 4  # the last base's deltas stay for a repeat, older ones go
+
+
+def test_sketch_of_many_users_keeps_its_bound(spark, tmp_path):
+    table = MergedTable(str(tmp_path), lambda df: partial_totals(df, [], ["user_id"]), merge_totals([]))
+    events = spark.range(60_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 25_000).alias("user_id"), F.lit(1).cast("long").alias("product_id"), F.lit("view").alias("event_type"),
+        F.timestamp_seconds("id").alias("ts"), F.lit(1.0).alias("dwell_time"), F.lit(1.0).alias("scroll_depth"),
+    )
+    for batch in range(3):
+        table(events.where(F.col("event_id") % 3 == batch), batch)
+    estimate = finished_totals(table.read(spark)).first().unique_user_id
+    assert abs(estimate - 25_000) <= SKETCH_BOUND * 25_000
+
+
+def test_a_batch_rewrites_only_its_buckets_and_two_versions_stay(spark, tmp_path):
+    schema = spark.createDataFrame([], "user_id long, last_activity int, v string").schema
+    table = BucketTable(str(tmp_path), "user_id", schema, lambda df: df, lambda old, new: C.upsert_latest(old, new, "user_id"))
+    table(spark.createDataFrame([(i, 1, "a") for i in range(500)], schema), 0)
+    buckets = lambda version: [p.name for p in (tmp_path / "data" / f"version={version}").iterdir() if "=" in p.name]
+    assert len(buckets(0)) == 64
+    for version in (1, 2, 2):
+        table(spark.createDataFrame([(7, version + 1, f"b{version}")], schema), version)
+        assert len(buckets(version)) == 1 and buckets(version) == buckets(1)
+    rows = {r.user_id: r.v for r in table.read(spark).collect()}
+    assert len(rows) == 500 and rows.pop(7) == "b2" and set(rows.values()) == {"a"}
+    assert {r.user_id: r.v for r in table.read(spark, previous=True).collect()}[7] == "b1"
+    assert buckets(1)[0] not in buckets(0) and len(buckets(0)) == 63  # the version before the previous one is gone
+    table(spark.createDataFrame([], schema), 3)
+    assert table.read(spark).count() == 500
+
+
+def test_progress_of_150_batches_is_reported(spark, tmp_path):
+    folder = str(tmp_path)
+    records = spark.range(450).select(F.col("id").cast("string").alias("key"), F.lit("{}").alias("value"))
+    records.repartition(150).write.json(f"{folder}/topic")
+    with sinks.logged(spark, f"{folder}/progress") as log:
+        stream = sources.file_records(spark, f"{folder}/topic", max_files=1)
+        query = sinks.run_available(stream, lambda df, batch: df.write.format("noop").mode("append").save(), f"{folder}/checkpoint")
+        rows = log.of(query).where("input_rows > 0").collect()
+    assert len(rows) == len({r.batch for r in rows}) == 150 and sum(r.input_rows for r in rows) == 450
+
+
+def test_an_alert_that_later_samples_lift_is_not_raised(spark, tmp_path):
+    """Window 0 starts with one error and one request, far above 5 %, and ends with 100 requests."""
+    sample = "ts timestamp, metric_name string"
+    at_ = lambda minutes, name: (BASE + dt.timedelta(minutes=minutes), name)
+    parts = [[at_(1, "error"), at_(2, "latency_ms")], [at_(3 + i / 4, "latency_ms") for i in range(100)] + [at_(70, "error"), at_(71, "latency_ms")], [at_(600, "latency_ms")]]
+    folder, seen = str(tmp_path), []
+    schema = spark.createDataFrame([], sample).schema
+    spark.createDataFrame(parts[0], schema).coalesce(1).write.parquet(f"{folder}/in/part=0")
+    rates = M.error_rates(S.watermarked(sources.parquet_events(spark, f"{folder}/in", schema)).withColumn("w", F.window("ts", "60 minutes")), ["w"])
+
+    def callback(df, batch):
+        values = df.select(F.col("w.start").alias("window_start"), F.lit("error_rate").alias("metric_name"), F.col("error_rate").alias("value"))
+        seen.extend((r.ts, r.severity) for r in M.alerts(values).collect())
+
+    for number, rows in enumerate(parts):
+        if number:
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/part={number}")
+        sinks.run_available(rates, callback, f"{folder}/checkpoint")
+    assert seen == [(BASE + dt.timedelta(minutes=60), "critical")]
+
+
 def test_zero_dwell_is_absent_and_bands(spark):
     row = C.enrich(spark.createDataFrame([event(1, dwell=0.0, scroll=75.0)], EVENTS)).first()
     assert row.dwell_time_seconds is None and row.dwell_time_category is None and row.scroll_depth_category == "very_high"
