@@ -9,14 +9,16 @@ of the ranges. Dense ids, exact quantiles, ordered splits and distribution dista
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 MIN_RANGES, MAX_RANGES = 64, 4096
+PIECE_ROWS = 1 << 16
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
@@ -118,6 +120,22 @@ def running(
     )
 
 
+def framed(df: DataFrame, order: Sequence[str], before: int, measures: Mapping[str, Callable[[WindowSpec], Column]], piece: int = PIECE_ROWS) -> DataFrame:
+    """Measures over the ``before`` rows that precede each row of the whole table, without a window over all of it.
+
+    Rows are numbered by a running count and cut into pieces of at least ``before`` rows; a piece also receives the last rows
+    of the piece before it, which leave again when the frames have been computed. ``order`` must be unique.
+    """
+    piece = max(piece, before)
+    numbered = running(df, order, {"_no": F.lit(1)}).withColumn("_at", (F.col("_no") - 1).cast("long")).drop("_no")
+    own = F.expr(f"_at div {piece}")
+    pieces = F.when(F.col("_at") % piece >= piece - before, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = numbered.withColumn("_piece", F.explode(pieces))
+    frame = W.partitionBy("_piece").orderBy("_at").rowsBetween(-before, -1)
+    found = dealt.withColumns({name: measure(frame) for name, measure in measures.items()})
+    return found.where(F.col("_piece") == own).drop("_at", "_piece")
+
+
 def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on the keys where null equals null; the left side's keys stay."""
     there = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoplens.functions.ordered import exact_quantiles
+from shoplens.functions.ordered import exact_quantiles, framed, running
 from shoplens.functions.scalars import count_text, exact_mean, lookup
 from shoplens.operators.ordering import first_rows, nearest_percentiles
 from shoplens.schemas import ALERT_RULES, COOLDOWN_SECONDS, ROLLBACKS_PER_HOUR
@@ -118,12 +118,13 @@ def baselines(metrics: DataFrame, events: DataFrame, as_of: Column, hours: int =
 def two_sigma(events: DataFrame, width: str = "1 hour", buckets: int = 24) -> DataFrame:
     """Click rate below mean - 2 deviations of the preceding buckets, or conversion down 15 % on them.
 
-    Rows are one per time bucket, so the ordered window has as many rows as the history has buckets.
+    Rows are one per time bucket; the frames over the preceding ones are computed piece by piece.
     """
     rates = click_rates(in_windows(events, width), ["window_start"]).withColumn("conversion", F.col("purchases") / F.col("views"))
-    before = W.partitionBy(F.lit(1)).orderBy("window_start").rowsBetween(-buckets, -1)
-    mean, spread, usual = F.avg("ctr").over(before), F.stddev_pop("ctr").over(before), F.avg("conversion").over(before)
-    return rates.withColumns({"mean_ctr": mean, "std_ctr": spread, "mean_conversion": usual}).withColumns(
+    means = {
+        "mean_ctr": lambda w: F.avg("ctr").over(w), "std_ctr": lambda w: F.stddev_pop("ctr").over(w), "mean_conversion": lambda w: F.avg("conversion").over(w),
+    }
+    return framed(rates, ["window_start"], buckets, means).withColumns(
         {
             "ctr_breach": F.coalesce(F.col("ctr") < F.col("mean_ctr") - F.lit(TWO_SIGMA) * F.col("std_ctr"), F.lit(False)),
             "conversion_breach": F.coalesce(F.col("conversion") < F.col("mean_conversion") * F.lit(1 - CONVERSION_DROP), F.lit(False)),
@@ -134,12 +135,13 @@ def two_sigma(events: DataFrame, width: str = "1 hour", buckets: int = 24) -> Da
 def sustained(values: DataFrame, threshold: float, bucket_seconds: int, min_buckets: int) -> DataFrame:
     """Runs of consecutive buckets above the threshold that last longer than ``min_buckets`` buckets.
 
-    ``values`` has one row per bucket (window_start, value).
+    ``values`` has one row per bucket (window_start, value). A bucket's number less its place among the high ones is the same
+    within a run; places are running counts over ranges of time.
     """
     high = values.where(F.col("value") > threshold)
     number = F.floor(F.unix_timestamp("window_start") / F.lit(bucket_seconds))
-    w = W.partitionBy(F.lit(1)).orderBy("window_start")
-    runs = high.withColumn("_run", number - F.row_number().over(w)).groupBy("_run").agg(
+    placed = running(high, ["window_start"], {"_place": F.lit(1)})
+    runs = placed.withColumn("_run", number - F.col("_place")).groupBy("_run").agg(
         F.min("window_start").alias("breach_start"), F.max("window_start").alias("breach_end"), F.count(F.lit(1)).alias("buckets"),
         F.max("value").alias("peak"),
     )

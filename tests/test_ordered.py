@@ -3,7 +3,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from shoplens.functions.ordered import assign_ranges, carry_forward, dense_index, exact_quantiles, running
+from shoplens.functions.ordered import framed, assign_ranges, carry_forward, dense_index, exact_quantiles, running
 
 
 def rows_with_hot_group(n=600):
@@ -90,3 +90,17 @@ def test_many_ranges_are_bisected_like_few(spark):
     assert numbers == sorted(numbers) and max(numbers) == 199
     sums = {(r.g, r.i): r.upto for r in running(df, ["i"], {"upto": F.col("v")}, by=["g"], ranges=200).collect()}
     assert sums == {(r.g, r.i): r.upto for r in running(df, ["i"], {"upto": F.col("v")}, by=["g"], ranges=5).collect()}
+
+
+def test_frames_cross_the_borders_of_pieces(spark):
+    values = [(i, float((i * 37) % 11)) for i in range(500)]
+    df = spark.createDataFrame(values, "t long, v double").repartition(7)
+    for before, piece in ((3, 3), (24, 50), (7, 1000)):
+        got = framed(df, ["t"], before, {"m": lambda w: F.avg("v").over(w), "n": lambda w: F.count("v").over(w)}, piece=piece)
+        assert got.columns == ["t", "v", "m", "n"]
+        rows = {r.t: (r.m, r.n) for r in got.collect()}
+        assert len(rows) == 500
+        for t, _ in values:
+            frame = [v for _, v in values[max(0, t - before):t]]
+            assert rows[t][1] == len(frame) and (not frame and rows[t][0] is None or abs(rows[t][0] - sum(frame) / len(frame)) < 1e-9)
+    assert framed(df.limit(0), ["t"], 2, {"m": lambda w: F.avg("v").over(w)}).collect() == []
