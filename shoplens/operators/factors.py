@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,36 +41,88 @@ def matrix_info(matrix: DataFrame) -> DataFrame:
     ).withColumn("sparsity", F.lit(1.0) - F.col("stored") / cells)
 
 
-def fit_als(matrix: DataFrame, rank: int = RANK, iterations: int = ITERATIONS, regularisation: float = REGULARISATION, seed: int = SEED):
-    """Factors for the residual after a user and an item bias.
+@dataclass(frozen=True)
+class Centred:
+    """A rating relation without its means: residual (user_no, item_no, residual), and the ids and biases of both sides."""
 
-    The trainer has no bias terms, so the means are taken out first and returned with the factors. It also scales the
-    penalty by each row's count, hence factors differ from a constant-penalty solver in value, not in use.
-    """
-    from pyspark.ml.recommendation import ALS
+    residual: DataFrame
+    users: DataFrame
+    items: DataFrame
+    mean: DataFrame
 
+
+def centre(matrix: DataFrame) -> Centred:
+    """Take out the overall mean, a bias per user and a bias per item, and number both sides, because the trainer takes int ids
+    only. Everything is checkpointed once, for all fits and their errors."""
     shared_folder(matrix.sparkSession)
     rated = matrix.where(F.col("value") != 0)
     overall = rated.agg(F.avg("value").alias("m")).scalar()
     centred = rated.withColumn("r", F.col("value") - overall)
-    user_bias = centred.groupBy("user_id").agg(F.avg("r").alias("user_bias"))
-    item_bias = centred.join(user_bias, "user_id").groupBy("product_id").agg(F.avg(F.col("r") - F.col("user_bias")).alias("item_bias"))
-    # The trainer takes int ids only, so both sides are numbered first.
-    user_index, item_index = dense_index(rated, "user_id", "user_no"), dense_index(rated, "product_id", "item_no")
-    residual = centred.join(user_bias, "user_id").join(item_bias, "product_id").join(user_index, "user_id").join(item_index, "product_id").select(
-        F.col("user_no").cast("int"), F.col("item_no").cast("int"),
-        (F.col("r") - F.col("user_bias") - F.col("item_bias")).cast("float").alias("residual"),
-    )
-    model = ALS(
+    users = centred.groupBy("user_id").agg(F.avg("r").alias("user_bias")).join(dense_index(rated, "user_id", "user_no"), "user_id").checkpoint()
+    by_user = centred.join(users, "user_id").withColumn("r", F.col("r") - F.col("user_bias"))
+    items = by_user.groupBy("product_id").agg(F.avg("r").alias("item_bias")).join(dense_index(rated, "product_id", "item_no"), "product_id").checkpoint()
+    residual = by_user.join(items, "product_id").select(F.col("user_no").cast("int"), F.col("item_no").cast("int"), (F.col("r") - F.col("item_bias")).alias("residual"))
+    return Centred(residual.checkpoint(), users, items, rated.agg(F.avg("value").alias("global_bias")))
+
+
+def train_als(centred: Centred, rank: int = RANK, iterations: int = ITERATIONS, regularisation: float = REGULARISATION, seed: int = SEED):
+    """The trainer's model of the residual. It has no bias terms of its own, and it scales the penalty by each row's count, hence
+    factors differ from a constant-penalty solver in value, not in use."""
+    from pyspark.ml.recommendation import ALS
+
+    trainer = ALS(
         rank=rank, maxIter=iterations, regParam=regularisation, seed=seed, userCol="user_no", itemCol="item_no",
         ratingCol="residual", coldStartStrategy="drop", checkpointInterval=5,
-    ).fit(residual)
+    )
+    return trainer.fit(centred.residual.withColumn("residual", F.col("residual").cast("float")))
+
+
+def fit_errors(centred: Centred, model) -> DataFrame:
+    """Root mean squared errors with factors (rmse) and with means alone (plain_rmse), one row."""
+    users = model.userFactors.select(F.col("id").alias("user_no"), F.col("features").alias("_u"))
+    items = model.itemFactors.select(F.col("id").alias("item_no"), F.col("features").alias("_v"))
+    left = F.col("residual") - dot(F.col("_u"), F.col("_v"))
+    root = lambda e: F.sqrt(F.avg(e * e))
+    return centred.residual.join(users, "user_no").join(items, "item_no").agg(root(left).alias("rmse"), root(F.col("residual")).alias("plain_rmse"))
+
+
+def factors_of(centred: Centred, model) -> tuple[DataFrame, DataFrame]:
+    """(user_id, user_vector, user_bias) and (product_id, item_vector, item_bias)."""
     users = model.userFactors.select(F.col("id").cast("long").alias("user_no"), F.col("features").alias("user_vector"))
     items = model.itemFactors.select(F.col("id").cast("long").alias("item_no"), F.col("features").alias("item_vector"))
-    users = users.join(user_index, "user_no").join(user_bias, "user_id").select("user_id", "user_vector", "user_bias")
-    items = items.join(item_index, "item_no").join(item_bias, "product_id").select("product_id", "item_vector", "item_bias")
-    mean = rated.agg(F.avg("value").alias("global_bias"))
-    return users, items, mean
+    return users.join(centred.users, "user_no").select("user_id", "user_vector", "user_bias"), items.join(centred.items, "item_no").select("product_id", "item_vector", "item_bias")
+
+
+def fit_als(matrix: DataFrame, rank: int = RANK, iterations: int = ITERATIONS, regularisation: float = REGULARISATION, seed: int = SEED):
+    """Factors for the residual after a user and an item bias, the biases, and the overall mean."""
+    centred = centre(matrix)
+    return *factors_of(centred, train_als(centred, rank, iterations, regularisation, seed)), centred.mean
+
+
+def bias_losses(matrix: DataFrame, penalties: Mapping[str, float], sweeps: int) -> DataFrame:
+    """(run, step, loss): the training of the bias terms, alternating between users and items, for several penalties at once.
+
+    Step 0 has the overall mean alone. Every further step fits one side to what the other leaves: the sum of a row's residuals
+    over their count plus the penalty. The loss is the mean squared error over all non-zero entries.
+    """
+    rated = matrix.where(F.col("value") != 0)
+    overall = rated.agg(F.avg("value").alias("m")).scalar()
+    rows = rated.select("user_id", "product_id", (F.col("value") - overall).alias("centred"))
+    sides = {"user_id": {run: F.lit(0.0) for run in penalties}, "product_id": {run: F.lit(0.0) for run in penalties}}
+    losses, biases = [], {}
+    for step in range(sweeps + 1):
+        current = rows
+        for key, table in biases.items():
+            current = current.join(table, key)
+        error = {run: F.col("centred") - sides["user_id"][run] - sides["product_id"][run] for run in penalties}
+        entries = F.array(*[F.struct(F.lit(run).alias("run"), F.avg(error[run] * error[run]).alias("loss")) for run in penalties])
+        losses.append(current.agg(entries.alias("e")).select(F.explode("e").alias("e")).select("e.run", F.lit(step).alias("step"), "e.loss"))
+        if step < sweeps:
+            key, other = ("user_id", "product_id") if step % 2 == 0 else ("product_id", "user_id")
+            fitted = [(F.sum(F.col("centred") - sides[other][run]) / (F.count(F.lit(1)) + F.lit(float(penalty)))).alias(f"{key}_{run}") for run, penalty in penalties.items()]
+            biases[key] = current.groupBy(key).agg(*fitted).checkpoint()
+            sides[key] = {run: F.col(f"{key}_{run}") for run in penalties}
+    return reduce(DataFrame.unionByName, losses)
 
 
 def bias_terms(matrix: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -111,20 +165,14 @@ def objective(predicted: DataFrame, users: DataFrame, items: DataFrame, regulari
 
 
 def compare_ranks(matrix: DataFrame, ranks: Iterable[int], iterations: int, regularisation: float = REGULARISATION) -> DataFrame:
-    """One fit per rank on the same relation: training seconds and root mean squared error."""
-    out = None
+    """One fit per rank on the same residual: training seconds and root mean squared error, beside that of the means alone."""
+    centred, out = centre(matrix), []
     for rank in ranks:
         start = time.monotonic()
-        users, items, mean = fit_als(matrix, rank, iterations, regularisation)
+        model = train_als(centred, rank, iterations, regularisation)
         seconds = time.monotonic() - start
-        fitted = matrix.where(F.col("value") != 0).join(users, "user_id").join(items, "product_id")
-        centre = mean.scalar()
-        guess = centre + F.col("user_bias") + F.col("item_bias") + dot(F.col("user_vector"), F.col("item_vector"))
-        row = fitted.agg(F.sqrt(F.avg(F.pow(F.col("value") - guess, F.lit(2.0)))).alias("rmse")).select(
-            F.lit(rank).alias("rank"), F.lit(iterations).alias("iterations"), F.lit(seconds).alias("training_seconds"), "rmse"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+        out.append(fit_errors(centred, model).select(F.lit(rank).alias("rank"), F.lit(iterations).alias("iterations"), F.lit(seconds).alias("training_seconds"), "rmse", "plain_rmse"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def training_curve(losses: DataFrame) -> DataFrame:

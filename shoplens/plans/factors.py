@@ -87,37 +87,51 @@ def _(shop):
     return predicted(shop).select("user_id", "product_id", "value", F.round("prediction", 6).alias("prediction"))
 
 
-LOSSES = """losses AS (SELECT model_version AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS step,
-CAST(sum(CAST(metric_value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS loss FROM metrics WHERE metric_name = 'latency_ms' GROUP BY 1, 2)"""
+PENALTIES, SWEEPS = {"free": 0.0, "damped": 2.0, "stiff": 20.0}, 6
+
+
+def _bias_training() -> str:
+    """The sweeps of every run, one common table expression each."""
+    parts = ["m0 AS (SELECT user_id, product_id, sum(coalesce(rating, 1)) AS value FROM interactions GROUP BY 1, 2 HAVING sum(coalesce(rating, 1)) <> 0)"]
+    parts.append("s0 AS (SELECT user_id, product_id, run, penalty, value - (SELECT avg(value) FROM m0) AS c, 0e0 AS u, 0e0 AS i FROM m0, "
+                 f"(VALUES {', '.join(f"('{run}', {penalty}e0)" for run, penalty in PENALTIES.items())}) p(run, penalty))")
+    for step in range(1, SWEEPS + 1):
+        key, new, other = ("user_id", "u", "i") if step % 2 else ("product_id", "i", "u")
+        parts.append(f"s{step} AS (SELECT * REPLACE (sum(c - {other}) OVER w / (count(*) OVER w + penalty) AS {new}) FROM s{step - 1} WINDOW w AS (PARTITION BY run, {key}))")
+    losses = " UNION ALL ".join(f"SELECT run, {step} AS step, avg((c - u - i) * (c - u - i)) AS loss FROM s{step} GROUP BY 1" for step in range(SWEEPS + 1))
+    return ", ".join(parts) + f", losses AS ({losses})"
+
+
+LOSSES = _bias_training()
 
 
 def losses(shop):
-    """A loss curve per model version: mean latency per day."""
-    from shoplens.functions.scalars import exact_mean
+    """The loss curves of the bias terms' training, one run per penalty."""
+    return M.bias_losses(M.rating_matrix(shop.interactions), PENALTIES, SWEEPS)
+
 
-    return shop.metrics.where("metric_name = 'latency_ms'").groupBy(
-        F.col("model_version").alias("run"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("step")
-    ).agg(exact_mean("metric_value").alias("loss"))
+def rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 @query(
-    "l11_training_curve", "metrics",
+    "l11_training_curve", "interactions",
     f"""WITH {LOSSES}, w AS (SELECT *, first_value(loss) OVER (PARTITION BY run ORDER BY step) AS f, lag(loss) OVER (PARTITION BY run ORDER BY step) AS p FROM losses)
-SELECT run, step, loss, f - loss AS improvement, (f - loss) / f * 100e0 AS improvement_pct, loss - p AS change,
-CASE WHEN p > 0 THEN abs(loss - p) / p END AS convergence FROM w""",
+SELECT run, step, round(loss, 6) AS loss, round(f - loss, 6) AS improvement, round((f - loss) / f * 100e0, 6) AS improvement_pct, round(loss - p, 6) AS change,
+round(CASE WHEN p > 0 THEN abs(loss - p) / p END, 6) AS convergence FROM w""",
 )
 def _(shop):
-    return M.training_curve(losses(shop))
+    return rounded(M.training_curve(losses(shop)), "loss", "improvement", "improvement_pct", "change", "convergence")
 
 
 @query(
-    "l11_training_summary", "metrics",
+    "l11_training_summary", "interactions",
     f"""WITH {LOSSES}, w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS back FROM losses)
-SELECT run, max_by(loss, step) AS final_loss, min_by(loss, step) - max_by(loss, step) AS total_improvement,
+SELECT run, round(max_by(loss, step), 6) AS final_loss, round(min_by(loss, step) - max_by(loss, step), 6) AS total_improvement,
 round(CASE WHEN count(*) >= 5 THEN stddev_pop(loss) FILTER (back <= 5) ELSE 0 END, 6) AS stability FROM w GROUP BY 1""",
 )
 def _(shop):
-    return M.training_summary(losses(shop)).withColumn("stability", F.round("stability", 6))
+    return rounded(M.training_summary(losses(shop)), "final_loss", "total_improvement", "stability")
 
 
 @query(
@@ -133,11 +147,11 @@ def _(shop):
 
 
 @query(
-    "l13_best_run", "metrics",
-    f"""WITH {LOSSES}, r AS (SELECT run || '/' || step AS run, loss AS value FROM losses) SELECT run, value FROM r ORDER BY value, run LIMIT 1""",
+    "l13_best_run", "interactions",
+    f"""WITH {LOSSES}, r AS (SELECT run, loss AS value FROM losses QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) = 1)
+SELECT run, round(value, 6) AS value FROM r ORDER BY value, run LIMIT 1""",
 )
 def _(shop):
-    runs = losses(shop).select(
-        F.concat_ws("/", "run", F.col("step").cast("string")).alias("run"), F.lit("loss").alias("metric"), F.col("loss").alias("value")
-    )
-    return M.best_run(runs, "loss")
+    """The run whose training ends at the smallest loss."""
+    ends = losses(shop).groupBy("run").agg(F.max_by("loss", "step").alias("value")).withColumn("metric", F.lit("loss"))
+    return rounded(M.best_run(ends, "loss"), "value")

@@ -9,7 +9,7 @@ from shoplens.operators import evaluate as V
 from shoplens.operators import recommend as R
 from shoplens.operators.joins import enrich
 from shoplens.plans.baskets import RULES, user_baskets
-from shoplens.plans.factors import FACTORED, LOSSES, losses, predicted
+from shoplens.plans.factors import FACTORED, LOSSES, losses, predicted, rounded
 from shoplens.plans.ordering import md5_number
 from shoplens.plans.registry import query
 
@@ -210,14 +210,15 @@ def _(shop):
 
 
 @query(
-    "n9_metric_differences", "metrics",
+    "n9_metric_differences", "interactions",
     f"""WITH {LOSSES}, r AS (SELECT run, 'loss_' || step AS metric, loss AS value FROM losses)
-SELECT metric, a.value AS value_left, b.value AS value_right, b.value - a.value AS value_change FROM (SELECT * FROM r WHERE run = 'v0') a
-JOIN (SELECT * FROM r WHERE run = 'v1') b USING (metric)""",
+SELECT metric, round(a.value, 6) AS value_left, round(b.value, 6) AS value_right, round(b.value - a.value, 6) AS value_change FROM (SELECT * FROM r WHERE run = 'free') a
+JOIN (SELECT * FROM r WHERE run = 'damped') b USING (metric)""",
 )
 def _(shop):
+    """The losses of two training runs, step by step."""
     runs = losses(shop).select("run", F.concat(F.lit("loss_"), F.col("step").cast("string")).alias("metric"), F.col("loss").alias("value"))
-    return V.metric_differences(runs, "v0", "v1")
+    return rounded(V.metric_differences(runs, "free", "damped"), "value_left", "value_right", "value_change")
 
 
 @query(
