@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,11 +54,18 @@ def to_time(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(parsed) if parsed else df
 
 
-def clean_users(df: DataFrame, as_of: Column) -> DataFrame:
+def keep_valid(df: DataFrame, valid: Column, observation: Observation | None = None) -> DataFrame:
+    """Rows that are valid; with an observation the rows before and after are counted while the result is computed."""
+    if observation is not None:
+        df = df.observe(observation, F.count(F.lit(1)).alias("original_rows"), F.count_if(valid).alias("cleaned_rows"))
+    return df.where(valid)
+
+
+def clean_users(df: DataFrame, as_of: Column, observation: Observation | None = None) -> DataFrame:
     out = fill_constants(fill_median(df, ["age"]), USER_DEFAULTS)
     out = trim_columns(out.withColumn("location", title_case(F.trim("location"))), ["preference_category"])
     out = to_time(out.withColumn("email", F.lower(F.trim("email"))), ["created_at", "last_active"])
-    return add_ages(out, as_of)
+    return add_ages(keep_valid(out, F.lit(True), observation), as_of)
 
 
 def add_ages(df: DataFrame, as_of: Column) -> DataFrame:
@@ -84,18 +92,18 @@ def add_discounts(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_products(df: DataFrame, as_of: Column | None = None) -> DataFrame:
+def clean_products(df: DataFrame, as_of: Column | None = None, observation: Observation | None = None) -> DataFrame:
     """Numbers are coerced first, so that the median of a text price is the median of its usable values."""
     out = to_number(df, ["price", "rating", "review_count", "stock_quantity"])
     out = fill_constants(fill_median(out, ["price", "rating"]), PRODUCT_DEFAULTS)
-    out = trim_columns(out, ["name", "description", "category", "subcategory", "brand"]).where(product_domain())
+    out = keep_valid(trim_columns(out, ["name", "description", "category", "subcategory", "brand"]), product_domain(), observation)
     if "created_at" in out.columns and as_of is not None:
         out = to_time(out, ["created_at"])
         out = out.withColumn("days_since_created", full_days(as_of, F.col("created_at")))
     return add_discounts(out)
 
 
-def clean_interactions(df: DataFrame, ts: str = "ts", rating_policy: str = "zero_fill") -> DataFrame:
+def clean_interactions(df: DataFrame, ts: str = "ts", rating_policy: str = "zero_fill", observation: Observation | None = None) -> DataFrame:
     """rating_policy: 'zero_fill' makes missing ratings 0, 'explicit' keeps them null, 'implicit' uses 1."""
     missing = {"zero_fill": 0.0, "explicit": None, "implicit": 1.0}[rating_policy]
     defaults = {c: v for c, v in INTERACTION_DEFAULTS.items() if c != "rating"}
@@ -106,24 +114,19 @@ def clean_interactions(df: DataFrame, ts: str = "ts", rating_policy: str = "zero
     in_range = F.col("rating").between(0, 5)
     if missing is None:
         in_range = F.col("rating").isNull() | in_range
-    out = to_time(out.where(in_range & (F.col("quantity") > 0)), [ts])
+    out = to_time(keep_valid(out, in_range & (F.col("quantity") > 0), observation), [ts])
     flags = weekday_flags(F.col(ts))
     return out.withColumns({c: flags[c] for c in ("hour_of_day", "day_of_week", "is_weekend")})
 
 
-def cleaning_report(stages: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Rows before and after cleaning, one row per table."""
-    parts = []
-    for name, (before, after) in stages.items():
-        tagged = before.select(F.lit(0).alias("kept")).unionByName(after.select(F.lit(1).alias("kept")))
-        parts.append(
-            tagged.agg(F.count_if(F.col("kept") == 0).alias("original_rows"), F.count_if(F.col("kept") == 1).alias("cleaned_rows"))
-            .select(F.lit(name).alias("table_name"), "original_rows", "cleaned_rows")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def cleaning_report(spark: SparkSession, tables: Mapping[str, Callable[[Observation], DataFrame]], write: Callable[[str, DataFrame], None]) -> DataFrame:
+    """Clean and write every table; per table the rows before and after, counted during the write, and its seconds."""
+    rows = []
+    for name, clean in tables.items():
+        counts, start = Observation(f"cleaning_{name}"), time.monotonic()
+        write(name, clean(counts))
+        rows.append((name, counts.get["original_rows"], counts.get["cleaned_rows"], time.monotonic() - start))
+    return spark.createDataFrame(rows, "table_name string, original_rows bigint, cleaned_rows bigint, seconds double")
 
 
 def project_available(df: DataFrame, wanted: Sequence[str]) -> DataFrame:

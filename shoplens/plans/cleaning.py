@@ -39,6 +39,20 @@ def _(shop):
     return read_table(shop.spark, folder, "users", stored).select("user_id", "age", "gender", "location", "email")
 
 
+@query("a2_scan_prefers_parquet", "users", "SELECT user_id, age, gender, location, email FROM users")
+def _(shop):
+    """Where both are there, the CSV file, which here lacks every other row, is not read."""
+    from shoplens.sources.tables import read_table
+
+    folder = sinks.run_folder(shop.spark, "both")
+    columns = [f.name for f in schemas.USERS if f.name in shop.users.columns]
+    users = shop.users.select(*columns)
+    sinks.write_table(users.where("user_id % 2 = 0"), folder, "users", fmt="csv")
+    sinks.write_table(users, folder, "users")
+    stored = type(schemas.USERS)([schemas.USERS[c] for c in columns])
+    return read_table(shop.spark, folder, "users", stored).select("user_id", "age", "gender", "location", "email")
+
+
 @query(
     "a3_parquet_sink", "users raw_users products raw_products",
     f"""WITH {CLEAN_PRODUCTS} SELECT 'products' AS table_name, count(*) AS rows, sum(product_id)::BIGINT AS key_sum FROM valid
@@ -91,8 +105,11 @@ def _(shop):
     "SELECT event_id, user_id, event_type FROM clickstream WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY",
 )
 def _(shop):
-    kept = within_age(shop.clickstream, "ts", shop.stream_now, schemas.RETENTION_DAYS["events"])
-    return kept.select("event_id", "user_id", "event_type")
+    """Events lie in one folder per day; expired days are dropped, and the last one in part is filtered."""
+    folder, days = sinks.run_folder(shop.spark, "daily"), schemas.RETENTION_DAYS["events"]
+    sinks.write_daily(shop.clickstream, "ts", folder)
+    sinks.drop_expired_days(shop.spark, folder, shop.stream_now, days)
+    return within_age(shop.spark.read.parquet(folder), "ts", shop.stream_now, days, day="day").select("event_id", "user_id", "event_type")
 
 
 @query(
@@ -184,18 +201,18 @@ def _(shop):
 @query(
     "b13_cleaning_report", "users raw_users products raw_products interactions",
     f"""WITH {CLEAN_PRODUCTS} SELECT 'products' AS table_name, (SELECT count(*) FROM raw_products) AS original_rows,
-(SELECT count(*) FROM valid) AS cleaned_rows
-UNION ALL SELECT 'users', count(*), count(*) FROM raw_users
-UNION ALL SELECT 'interactions', count(*), count(*) FILTER (quantity > 0 AND rating BETWEEN 0 AND 5) FROM ({ZERO_RATED})""",
+(SELECT count(*) FROM valid) AS cleaned_rows, true AS timed
+UNION ALL SELECT 'users', count(*), count(*), true FROM raw_users
+UNION ALL SELECT 'interactions', count(*), count(*) FILTER (quantity > 0 AND rating BETWEEN 0 AND 5), true FROM ({ZERO_RATED})""",
 )
 def _(shop):
-    return C.cleaning_report(
-        {
-            "users": (shop.raw_users, C.clean_users(shop.raw_users, shop.now)),
-            "products": (shop.raw_products, C.clean_products(shop.raw_products)),
-            "interactions": (shop.interactions, C.clean_interactions(shop.interactions)),
-        }
-    )
+    folder = sinks.run_folder(shop.spark, "cleaned")
+    tables = {
+        "users": lambda seen: C.clean_users(shop.raw_users, shop.now, seen), "products": lambda seen: C.clean_products(shop.raw_products, observation=seen),
+        "interactions": lambda seen: C.clean_interactions(shop.interactions, observation=seen),
+    }
+    found = C.cleaning_report(shop.spark, tables, lambda name, df: sinks.write_table(df, folder, name, suffix="_cleaned"))
+    return found.select("table_name", "original_rows", "cleaned_rows", (F.col("seconds") > 0).alias("timed"))
 
 
 @query(
@@ -237,6 +254,17 @@ def _(shop):
     return C.clean_users(shop.raw_users, shop.now).select(*columns)
 
 
+@query(
+    "b_clean_products", "products raw_products",
+    f"""WITH {CLEAN_PRODUCTS} SELECT product_id, name, category, brand, round(price, 6) AS price, round(rating, 6) AS rating, CAST(review_count AS DOUBLE) AS review_count,
+CAST(stock_quantity AS DOUBLE) AS stock_quantity, discount_percentage > 0 AS has_discount, round(price * (1e0 - discount_percentage / 100e0), 6) AS final_price,
+discount_percentage / 100e0 AS discount_impact FROM valid""",
+)
+def _(shop):
+    columns = ["product_id", "name", "category", "brand", "price", "rating", "review_count", "stock_quantity", "has_discount", "final_price", "discount_impact"]
+    return C.clean_products(shop.raw_products).select(*[F.round(c, 6).alias(c) if c in ("price", "rating", "final_price") else F.col(c) for c in columns])
+
+
 @query(
     "b_clean_interactions", "interactions",
     f"""SELECT user_id, product_id, session_id, rating, CAST(quantity AS DOUBLE) AS quantity, CAST(hour(ts) AS INT) AS hour_of_day,

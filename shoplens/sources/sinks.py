@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,21 @@ def write_table(
         nested_to_json(df).write.mode("overwrite").option("header", True).csv(f"{base}.csv")
 
 
+def write_daily(df: DataFrame, ts: str, folder: str) -> None:
+    """Append rows below one folder per day of their time stamp."""
+    df.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def drop_expired_days(spark: SparkSession, folder: str, as_of: Column, days: int) -> list[str]:
+    """Remove the folders of days that lie wholly before ``as_of`` less ``days``; the days removed. Only folder names are read."""
+    oldest = F.to_date(as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+    stored = spark.read.parquet(folder).select("day").distinct()
+    expired = [str(r.day) for r in stored.where(F.col("day") < oldest).orderBy("day").collect()]
+    for day in expired:
+        remove(spark, f"{folder}/day={day}")
+    return expired
+
+
 def write_stage(tables: dict[str, DataFrame], folder: str, stage: str) -> None:
     """Cleaned tables or features of one run; the category table has no stage output."""
     for name, df in tables.items():

@@ -62,9 +62,12 @@ def load_tables(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dic
     return {name: read_table(spark, folder, name, schemas.TABLES[name]) for name in names}
 
 
-def within_age(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
-    """Retention: rows not older than ``days`` at ``as_of``."""
-    return df.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+def within_age(df: DataFrame, ts: str, as_of: Column, days: int, day: str | None = None) -> DataFrame:
+    """Retention: rows not older than ``days`` at ``as_of``. With a ``day`` column, by which the table is partitioned, older
+    partitions are not read."""
+    oldest = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
+    kept = df.where(F.col(ts) >= oldest)
+    return kept.where(F.col(day) >= F.to_date(oldest)) if day else kept
 
 
 def as_clickstream(events: DataFrame) -> DataFrame:

@@ -106,3 +106,30 @@ def test_csv_round_trip_keeps_arrays_and_missing_table_is_an_error(spark, tmp_pa
     assert back.tags == ["a", "b,c"] and back.price == 1.5 and back.created_at == dt.datetime(2024, 1, 1)
     with pytest.raises(FileNotFoundError):
         read_table(spark, str(tmp_path), "users", schemas.USERS)
+
+
+def test_expired_days_are_dropped_and_not_read(spark, tmp_path):
+    from shoplens.sources import sinks
+    from shoplens.sources.tables import within_age
+
+    folder = str(tmp_path / "daily")
+    events = spark.range(0, 240).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600).alias("ts"))  # ten days of hours
+    sinks.write_daily(events, "ts", folder)
+    now = F.lit("2024-01-10 12:00:00").cast("timestamp")
+    kept = within_age(spark.read.parquet(folder), "ts", now, 3, day="day")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and ">= 2024-01-07" in plan.replace("19729", "2024-01-07")
+    wanted = sorted(r.id for r in within_age(events, "ts", now, 3).collect())
+    assert sorted(r.id for r in kept.collect()) == wanted and len(wanted) == 84
+    assert sinks.drop_expired_days(spark, folder, now, 3) == [f"2024-01-0{d}" for d in range(1, 7)]
+    assert sorted(p.name for p in (tmp_path / "daily").iterdir() if "=" in p.name) == [f"day=2024-01-{d:02d}" for d in range(7, 11)]
+    assert sorted(r.id for r in within_age(spark.read.parquet(folder), "ts", now, 3, day="day").collect()) == wanted
+
+
+def test_report_counts_while_writing(spark):
+    from shoplens.operators import cleaning as C
+
+    rows = spark.createDataFrame([(1, "5", 2.0, 0.0), (2, "x", 3.0, 0.0), (3, "-1", 1.0, 0.0), (4, None, 9.0, 0.0)], "product_id long, price string, rating double, discount_percentage double")
+    written = {}
+    found = C.cleaning_report(spark, {"products": lambda seen: C.clean_products(rows, observation=seen)}, lambda name, df: written.update({name: df.count()})).first()
+    assert (found.original_rows, found.cleaned_rows, written["products"]) == (4, 2, 2) and found.seconds > 0
