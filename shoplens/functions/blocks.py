@@ -12,13 +12,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.session import shared_folder
 
 BLOCK_ROWS, SMALL_BLOCK = 2048, 128
-SALTS = 16
+SALT_ROWS, BROADCAST_BASKETS = 4096, 100_000
 CHUNK_BASKETS = 512
 DIGITS = 6
 
@@ -177,17 +177,36 @@ def score_totals(left: DataFrame, right: DataFrame, cosine: bool, skip_self: boo
     )
 
 
-def with_sizes(baskets: DataFrame, basket: str, item: str, smallest: int = 1, largest: int | None = None) -> DataFrame:
+def salt_count(size: Column, rows: int) -> Column:
+    """Salts of a basket: one for every ``rows`` items, so that a hot basket is dealt out as far as its size asks for."""
+    return F.greatest(F.ceil(size / F.lit(rows)), F.lit(1)).cast("int")
+
+
+def salted(baskets: DataFrame, sizes: DataFrame, basket: str, item: str, rows: int = SALT_ROWS) -> DataFrame:
+    """The rows with a ``_salt`` below their basket's salt_count(); ``sizes`` has the measured basket_size.
+
+    Only baskets of more than ``rows`` items need one, at most a table of all rows / ``rows``, which is broadcast where its
+    counted length is small.
+    """
+    heavy = sizes.where(F.col("basket_size") > rows).select(basket, salt_count(F.col("basket_size"), rows).alias("_salts"))
+    n = heavy.count()
+    if n == 0:
+        return baskets.withColumn("_salt", F.lit(0))
+    marked = baskets.join(F.broadcast(heavy) if n <= BROADCAST_BASKETS else heavy, basket, "left")
+    return marked.withColumn("_salt", F.pmod(F.xxhash64(item), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+
+
+def with_sizes(baskets: DataFrame, basket: str, item: str, smallest: int = 1, largest: int | None = None, rows: int = SALT_ROWS) -> DataFrame:
     """Distinct (basket, item) rows with the basket's number of items, for baskets within the given sizes.
 
-    Counts are combined in every task. They are joined back on the basket and a salt taken from the item, so a basket
-    with a third of all rows is spread over ``SALTS`` tasks.
+    Counts are combined in every task and joined back on the basket and a salt, whose number follows from the measured size:
+    a basket with a third of all rows meets its count in as many places as it has ``rows`` items.
     """
     sizes = baskets.groupBy(basket).agg(F.count(F.lit(1)).alias("basket_size")).where(F.col("basket_size") >= smallest)
     if largest is not None:
         sizes = sizes.where(F.col("basket_size") <= largest)
-    copies = sizes.withColumn("_salt", _copies(SALTS))
-    return baskets.withColumn("_salt", _block(item, SALTS)).join(copies, [basket, "_salt"]).drop("_salt")
+    copies = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), salt_count(F.col("basket_size"), rows) - 1)))
+    return salted(baskets, sizes, basket, item, rows).join(copies, [basket, "_salt"]).drop("_salt")
 
 
 def pair_counts(baskets: DataFrame, basket: str, item: str, light: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -224,17 +243,21 @@ def _light_pairs(baskets: DataFrame, basket: str, item: str) -> DataFrame:
 
 def _heavy_pairs(rows: DataFrame, basket: str, item: str, block_rows: int) -> DataFrame:
     counted = rows.agg(F.countDistinct(basket).alias("baskets"), F.approx_count_distinct(item).alias("items")).first()
+    kind = rows.schema[item].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, together bigint"
     if counted["baskets"] == 0:
-        return rows.sparkSession.createDataFrame([], "a long, b long, together long")
+        return rows.sparkSession.createDataFrame([], schema)
     chunks = max(1, math.ceil(counted["baskets"] / CHUNK_BASKETS))
     blocks = max(1, math.ceil(counted["items"] / block_rows))
     keyed = rows.select(
         F.pmod(F.xxhash64(basket), F.lit(chunks)).cast("int").alias("chunk"), _block(item, blocks).alias("own"),
-        F.col(basket).alias("basket"), F.col(item).alias("item"),
+        F.col(basket).alias("basket"), F.col(item).alias("item"), salt_count(F.col("basket_size"), SALT_ROWS).alias("salts"),
     )
-    # a row of block x takes part in the cells of x with the blocks that its basket has items in
-    present = keyed.select("basket", F.col("own").alias("opposite")).distinct()
-    cells = keyed.join(present, "basket").select(
+    # a row of block x takes part in the cells of x with the blocks that its basket has items in; the items of a basket meet
+    # the list of its blocks in as many places as its size asks for
+    present = keyed.select("basket", "salts", F.col("own").alias("opposite")).distinct()
+    present = present.select("basket", "opposite", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    cells = keyed.withColumn("salt", F.pmod(F.xxhash64("item"), "salts").cast("int")).join(present, ["basket", "salt"]).select(
         "chunk", F.least("own", "opposite").alias("lb"), F.greatest("own", "opposite").alias("rb"), "own", "basket", "item"
     )
 
@@ -257,4 +280,4 @@ def _heavy_pairs(rows: DataFrame, basket: str, item: str, block_rows: int) -> Da
             {"a": np.minimum(x, y), "b": np.maximum(x, y), "together": counts[i, j].astype(np.int64)}
         )
 
-    return cells.groupBy("chunk", "lb", "rb").applyInPandas(cell_pairs, "a long, b long, together long")
+    return cells.groupBy("chunk", "lb", "rb").applyInPandas(cell_pairs, schema)

@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from shoplens.functions.blocks import best_matches, listed_pairs, pair_counts, score_totals, with_sizes
+from shoplens.functions import blocks
+from shoplens.functions.blocks import best_matches, listed_pairs, pair_counts, salted, score_totals, with_sizes
 from shoplens.operators.similarity import InvertedLists, matches_in_cells, nearest, recall
 
 
@@ -111,3 +112,30 @@ def test_searching_every_list_finds_every_neighbour(spark):
     exact = nearest(queries, items, 5)
     assert recall(exact, lists.search(queries, 5, probes=4)).first().recall == 1.0
     assert 0.2 < recall(exact, lists.search(queries, 5, probes=2)).first().recall <= 1.0
+
+
+def test_a_basket_with_a_third_of_the_rows_is_dealt_out(spark):
+    """No (basket, salt) holds more than two hundredths of the rows, and sizes and pair counts are those of plain Python."""
+    rows = [(0, i) for i in range(1000)] + [(1 + i // 20, (i * 7) % 900) for i in range(2000)]
+    rows = sorted(set(rows))
+    df = spark.createDataFrame(rows, "basket long, item long")
+    sizes = df.groupBy("basket").agg(F.count(F.lit(1)).alias("basket_size"))
+    groups = salted(df, sizes, "basket", "item", rows=32).groupBy("basket", "_salt").count().collect()
+    assert max(r["count"] for r in groups) <= 0.02 * len(rows)
+    counts = Counter(b for b, _ in rows)
+    found = with_sizes(df, "basket", "item", smallest=2, rows=32).collect()
+    assert sorted((r.basket, r.item, r.basket_size) for r in found) == sorted((b, i, counts[b]) for b, i in rows if counts[b] >= 2)
+
+
+def test_heavy_pairs_of_a_salted_basket_and_of_text_items(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SALT_ROWS", 8)
+    rng = random.Random(2)
+    rows = sorted({(b, f"i{rng.randrange(60):02d}") for b in range(6) for _ in range(55)})
+    df = spark.createDataFrame(rows, "basket long, item string")
+    wanted = Counter()
+    for basket in range(6):
+        wanted.update(itertools.combinations(sorted(i for b, i in rows if b == basket), 2))
+    got = {(r.a, r.b): r.together for r in pair_counts(df, "basket", "item", light=5, block_rows=16).collect()}
+    assert got == dict(wanted)
+    nothing = pair_counts(df.limit(0), "basket", "item")
+    assert nothing.collect() == [] and nothing.schema["a"].dataType.simpleString() == "string"
