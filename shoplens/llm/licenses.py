@@ -162,8 +162,9 @@ def scan(docs: DataFrame, tables: Tables | None = None, key: str = "doc_id", tex
 
 
 def _template_rows() -> str:
-    sets = [(label, sorted(set(text.split()))) for label, texts in sorted(TEMPLATES.items()) for text in texts]
-    return ", ".join(f"('{label}', {words}, {math.ceil(round(THRESHOLD * len(words), 9))})" for label, words in sets)
+    every = [(label, text.split()) for label, texts in sorted(TEMPLATES.items()) for text in texts]
+    rows = [(i, label, sorted(set(words)), math.ceil(round(THRESHOLD * len(set(words)), 9)), len(words)) for i, (label, words) in enumerate(every)]
+    return ", ".join(f"({i}, '{label}', {words}, {least}, {n})" for i, label, words, least, n in rows)
 
 
 SQL = rf"""
@@ -173,9 +174,18 @@ p AS (
   SELECT id, i - 1 AS place, CASE WHEN words[i] = 'mit' THEN 'mit' WHEN words[i] = 'apache' THEN 'apache' ELSE 'gpl' END AS label
   FROM (SELECT id, words, unnest(range(1, len(words) + 1)) AS i FROM w)
   WHERE (words[i] IN ('mit', 'apache') AND words[i + 1] = 'license') OR (words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license')),
-t(label, words, least) AS (VALUES {_template_rows()}),
+t(template, label, words, least, n) AS (VALUES {_template_rows()}),
 l AS MATERIALIZED (SELECT id, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS words FROM d),
-m AS (SELECT id, label, len(list_intersect(l.words, t.words)) / len(t.words) AS containment FROM l, t WHERE len(list_intersect(l.words, t.words)) >= least),
+tw AS (SELECT template, label, least, n, len(words) AS size, unnest(words) AS word FROM t),
+e AS (SELECT id, i AS place, words[i] AS word FROM (SELECT id, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE id IN (SELECT id FROM d WHERE contains(text, chr(10))))),
+h AS MATERIALIZED (SELECT id, place, template, label, least, n, size, word FROM e JOIN tw USING (word)),
+r AS (
+  SELECT x.id, x.label, count(DISTINCT y.word) / x.size AS containment
+  FROM h AS x JOIN h AS y ON x.id = y.id AND x.template = y.template AND y.place >= x.place AND y.place < x.place + x.n
+  GROUP BY x.id, x.template, x.place, x.label, x.size, x.least HAVING count(DISTINCT y.word) >= x.least),
+m AS (
+  SELECT id, label, len(list_intersect(l.words, t.words)) / len(t.words) AS containment FROM l, t WHERE len(list_intersect(l.words, t.words)) >= least
+  UNION ALL SELECT id, label, containment FROM r),
 b AS (SELECT id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY id),
 a AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT id, label FROM p UNION ALL SELECT id, label FROM m) GROUP BY id),
 s AS (SELECT id, max(containment) AS best FROM m GROUP BY id)

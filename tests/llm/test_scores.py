@@ -86,10 +86,12 @@ def test_licences_as_brute_force(odd, odd_rows, nothing, spark):
         "Released under the MIT License.", "released UNDER mit-license!", "Apache\nLicense", "the Apache License, Version 2.0 license", "GNU General Public  License mit license",
         "this source code form is subject to the terms of the mozilla public license v 2 0", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation",
         "Licensed under CC BY-NC 4.0.", "mit Kicense mit lİcense mit licenseé", "license mit", "the general public", "mit license " * 3000,
+        "this source code form is subject to the\nterms of the Mozilla Public License, v 2 0", "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this software and\nassociated files", "licensed under\nother words here that are many cc by nc 4 0",
     ]
     rows = [*odd_rows, *[(800 + i, t, *[None] * 6) for i, t in enumerate(lines)]]
     found = sorted((tuple(r) for r in licenses.scan(spark.createDataFrame(rows, odd.schema), Tables("test")).collect()), key=repr)
     sets = [(label, set(t.split())) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    lengths = [len(t.split()) for ts in licenses.TEMPLATES.values() for t in ts]
     split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     expected = []
     for row in rows:
@@ -97,6 +99,8 @@ def test_licences_as_brute_force(odd, odd_rows, nothing, spark):
         at = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if tuple(words[i : i + len(phrase)]) == phrase]
         base = {label for _, label in at}
         shares = [(len(s & set(split(line))) / len(s), label) for line in (row[1] or "").split("\n") for label, s in sets]
+        if "\n" in (row[1] or ""):  # a notice may be wrapped over lines: every run of as many words as the template has
+            shares += [(len(s & set(words[i : i + n])) / len(s), label) for (label, s), n in zip(sets, lengths) for i in range(len(words))]
         good = [x for x in shares if x[0] >= licenses.THRESHOLD - 1e-12]
         labels = sorted(base | {label for _, label in good})
         score = 1.0 if at else max([x[0] for x in good], default=0.0)
