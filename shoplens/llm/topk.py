@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import Tables
+from shoplens.llm.common import ODD, Tables
 
 SAMPLE = 4096
 SHARD_ROWS = 4096
 LEAF_ROWS = 64
 BLOCK = 1024
+TURN_QUERIES = 1 << 16
 EXACT = 2.0**52
 NONE = np.iinfo(np.int64).min
 
@@ -197,7 +198,6 @@ def top_k(rows: DataFrame, queries: DataFrame, tables: Tables, k: int = 5, sampl
         return pd.DataFrame({"cell": [first["cell"]], "salt": [first["salt"]], "tree": [pickle.dumps(tree, 5)]})
 
     trees = tables.keep("trees", salted(celled).groupBy("cell", "salt").applyInPandas(build, "cell bigint, salt bigint, tree binary"))
-    held_parts = sorted(map(tuple, trees.select("cell", "salt").collect()))  # a salt may have drawn no row
     box = celled.select("cell", F.posexplode("numbers").alias("dim", "x")).groupBy("cell", "dim").agg(F.min("x"), F.max("x"), F.count("x"))
     edges = box.collect()  # cells x dimensions
     width = 1 + max([r["dim"] for r in edges], default=-1)
@@ -219,6 +219,8 @@ def top_k(rows: DataFrame, queries: DataFrame, tables: Tables, k: int = 5, sampl
     kth = first.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).alias("kth"))
     asked = homes.join(kth, homes["id"] == kth["query_id"], "left").select("id", "numbers", "cell", "salt", "kth")
 
+    turns = -(-queries.count() // TURN_QUERIES) or 1
+
     def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for start in range(0, len(part), BLOCK):
@@ -228,11 +230,13 @@ def top_k(rows: DataFrame, queries: DataFrame, tables: Tables, k: int = 5, sampl
                 ids, home, salt = (block[c].to_numpy() for c in ("id", "cell", "salt"))
                 edge = [np.pad(x, ((0, 0), (0, vectors.shape[1] - width))) for x in (low, high)]
                 reach = bounds(vectors, *edge)
-                for cell, one in held_parts:
-                    useful = (reach[:, cell] >= floor) | (floor == NONE)
-                    rows_ = np.flatnonzero(useful & ~((home == cell) & (salt == one)))
-                    if len(rows_):
-                        yield pd.DataFrame({"cell": [cell], "salt": [one], "block": [pickle.dumps((ids[rows_], vectors[rows_], floor[rows_]), 5)]})
+                for cell in shards:
+                    rows_ = np.flatnonzero((reach[:, cell] >= floor) | (floor == NONE))
+                    own = np.where(home[rows_] == cell, salt[rows_], -1)  # the shard that has been searched already
+                    for seen in np.unique(own):
+                        part_ = rows_[own == seen]
+                        packed = pickle.dumps((ids[part_], vectors[part_], floor[part_]), 5)
+                        yield pd.DataFrame({"cell": [cell], "seen": [seen], "turn": [(int(ids[part_[0]]) * int(ODD) >> 32) % turns], "block": [packed]})
 
     def elsewhere(key, blocks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
@@ -244,8 +248,12 @@ def top_k(rows: DataFrame, queries: DataFrame, tables: Tables, k: int = 5, sampl
             out.append(_found(ids, *search(tree, ids, vectors, floor, k)))
         return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
-    blocks = asked.mapInPandas(sent, "cell bigint, salt bigint, block binary")
-    rest = blocks.groupBy("cell", "salt").cogroup(trees.groupBy("cell", "salt")).applyInPandas(elsewhere, RESULT)
+    blocks = asked.mapInPandas(sent, "cell bigint, seen bigint, turn bigint, block binary")
+    # A salt may have drawn no row: blocks meet the shards that exist. A shard answers many queries in several turns.
+    there = tables.keep("there", trees.select("cell", "salt"))
+    meant = blocks.join(there, "cell").where("salt <> seen").select("cell", "salt", "turn", "block")
+    held = trees.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)).cast("array<bigint>")))
+    rest = meant.groupBy("cell", "salt", "turn").cogroup(held.groupBy("cell", "salt", "turn")).applyInPandas(elsewhere, RESULT)
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -47,3 +47,13 @@ def test_one_id_with_many_rows(spark):
         vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(F.col("vec_id").alias("id"), topk.whole_numbers("embedding").alias("numbers"))
         found = topk.top_k(vectors, vectors.where("id % 50 = 0"), Tables("test"), shard_rows=500)
         assert sorted(map(tuple, found.collect())) == brute(rows, 5)
+
+
+def test_queries_in_several_turns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TURN_QUERIES", 2)
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.normal(size=4)]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(F.col("vec_id").alias("id"), topk.whole_numbers("embedding").alias("numbers"))
+    found = topk.top_k(vectors, vectors.where("id % 50 = 0"), Tables("test"), shard_rows=60, sample=256)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 5)
