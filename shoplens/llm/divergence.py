@@ -100,7 +100,7 @@ def emitted(part: pd.DataFrame, totals: pd.DataFrame, top: int = TOP_TERMS) -> p
     """From merged stripes of one language: for every two sources the sum of differences, for every source its best terms."""
     schema = ["lang", "source", "part", "item", "value"]
     if not len(part) or not len(totals):
-        return pd.DataFrame({name: [] for name in schema})
+        return pd.DataFrame({name: [] for name in schema}, dtype=object)
     row = totals.iloc[0]
     sources, total, terms = list(row["sources"]), np.array(row["totals"], np.int64), int(row["terms"])
     number = {s: i for i, s in enumerate(sources)}

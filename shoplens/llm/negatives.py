@@ -208,7 +208,11 @@ class Miner:
     def __init__(self, rows: DataFrame, anchors: DataFrame, tables: Tables, block_rows: int = BLOCK_ROWS, chunk_anchors: int = CHUNK_ANCHORS, chunk_zones: int = CHUNK_ZONES):
         usable = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("label").cast("bigint").alias("label"), "numbers").dropna()
         self.tables = tables
-        rows = tables.keep("rows", usable(rows).dropDuplicates(["id", "label", "numbers"]))
+        # Of rows alike in label and vector only the first ids can be among an anchor's positives or a window's negatives: they
+        # tie with every anchor, ties go to the smaller id, and one id may be the anchor's own.
+        alike = F.row_number().over(W.partitionBy("numbers", "label").orderBy("id"))
+        rows = usable(rows).dropDuplicates(["id", "label", "numbers"]).withColumn("alike", alike).where(F.col("alike") <= max(POSITIVES, NEGATIVES) + 1)
+        rows = tables.keep("rows", rows.drop("alike"))
         least = usable(anchors).groupBy("id").agg(F.min(F.struct("numbers", "label")).alias("a"))
         self.anchors = tables.keep("anchors", least.select("id", "a.label", "a.numbers"))
         self.blocks = candidate_blocks(rows, tables, block_rows)
@@ -266,7 +270,7 @@ def best_blocks(anchors: pd.DataFrame, zones: pd.DataFrame) -> pd.DataFrame:
             columns["kind"] += [kind] * len(some)
             columns["reach"] += upper[some, at[some]].tolist()
             columns["block"] += blocks[at[some]].tolist()
-    return pd.DataFrame(columns)
+    return pd.DataFrame(columns, dtype=None if columns["id"] else object)
 
 
 def _visits(anchors: pd.DataFrame, blocks: np.ndarray, needed: np.ndarray) -> pd.DataFrame:
