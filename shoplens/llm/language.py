@@ -55,7 +55,7 @@ def grams(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     letters = LETTER[data]
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     keep = letters.copy()
-    keep[1:] |= letters[:-1]  # the first other byte after a letter ends the word
+    keep[1:] |= letters[:-1] & (row[1:] == row[:-1])  # the first other byte after a letter ends the word
     text, row = np.where(letters, data, 32)[keep].astype(np.uint64), row[keep]
     rows, buckets = [], []
     for size in SIZES:

@@ -1,12 +1,16 @@
-"""The quality scores recomputed in plain Python and single matrices."""
+"""Quality scores and languages recomputed in plain Python and single matrices."""
 
+import itertools
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from shoplens.llm import quality
-from shoplens.llm.common import Tables
+from shoplens.llm import language, quality
+from shoplens.llm.common import Tables, scatter
 
 FOLDER = "/root/testdata/sf0.001"
 STOPS, MARKS = b".,;:'\"-()", b"!?#$%&*@^~<>=+_/\\[]{}`"
@@ -70,3 +74,56 @@ def test_scores_from_one_matrix(spark):
     wanted = np.interp(wave(np.stack([values[i] for i in ids])) @ weights, [quality.LOW, *at, quality.HIGH], levels)
     found = {r.doc_id: r.score for r in quality.scored(docs, labels, Tables("test")).collect()}
     assert np.abs(wanted - np.array([found[i] for i in ids])).max() < 1e-5
+
+
+def plain_grams(text):
+    """Buckets of the n-grams of one text: every run of other bytes after a letter is one space."""
+    lowered = pc.utf8_lower(pa.scalar(text or "")).as_py().encode()
+    out = bytearray()
+    for b in lowered:
+        letter = 97 <= b < 123 or b >= 128
+        if letter:
+            out.append(b)
+        elif out and out[-1] != 32:
+            out.append(32)
+    values = [int.from_bytes(bytes([size]) + bytes(out[i : i + size]), "big") for size in language.SIZES for i in range(len(out) - size + 1)]
+    return Counter((scatter(np.array(values, np.uint64)) & np.uint64(language.BUCKETS - 1)).tolist()) if values else Counter()
+
+
+def test_grams_do_not_depend_on_the_texts_around(odd_rows):
+    texts = [r[1] for r in odd_rows] + ["ab", "!cd", "", "e f", " g"]
+    row, bucket, n = language.grams(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]))
+    assert n == len(texts)
+    for i, text in enumerate(texts):
+        assert Counter(bucket[row == i].tolist()) == plain_grams(text)
+
+
+def test_languages_from_plain_counts(spark):
+    """Odds, bit weights, losses and the least one, from Python counters."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    counted = {r.doc_id: plain_grams(r.text) for r in rows}
+    learned = [r for r in rows if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    names = sorted({r.lang for r in learned})
+    shares = {}
+    for name in names:
+        total = sum((counted[r.doc_id] for r in learned if r.lang == name), Counter())
+        whole = sum(total.values()) + language.SMOOTHING * language.BUCKETS
+        shares[name] = np.array([(total[b] + language.SMOOTHING) / whole for b in range(language.BUCKETS)])
+    splits = [s for s in itertools.product((-1, 1), repeat=len(names)) if s[0] == 1 and -1 in s]
+    odds = [np.log(np.mean([shares[n] for n, side in zip(names, s) if side > 0], 0) / np.mean([shares[n] for n, side in zip(names, s) if side < 0], 0)) for s in splits]
+    margin = {i: [sum(c * o[b] for b, c in g.items()) / max(sum(g.values()), 1) for o in odds] for i, g in counted.items()}
+    weights = []
+    for bit, split in enumerate(splits):
+        good = sum(margin[r.doc_id][bit] * split[names.index(r.lang)] > 0 for r in learned)
+        rate = (good + 1) / (len(learned) + 2)
+        weights.append(max(math.log(rate / (1 - rate)), 1e-3))
+    found = {r.doc_id: r for r in language.identify(docs, language.fit(docs)).collect()}
+    for r in rows:
+        losses = [sum(w * math.log1p(math.exp(-language.SHARPNESS * m * s[place])) for w, m, s in zip(weights, margin[r.doc_id], splits)) / sum(weights) for place in range(len(names))]
+        chances = [math.exp(-language.SHARPNESS * (x - min(losses))) for x in losses]
+        best = losses.index(min(losses))
+        if any(c.isalpha() for c in r.text or ""):
+            assert found[r.doc_id].lang_pred == names[best] and abs(found[r.doc_id].score - chances[best] / sum(chances)) < 1e-6
+        else:
+            assert (found[r.doc_id].lang_pred, found[r.doc_id].score) == ("und", 0.0)
