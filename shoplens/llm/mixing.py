@@ -49,6 +49,9 @@ def targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     return rows.select(*SOURCE, "source_size", F.least(cap.cast("double"), level * weight).alias("target"))
 
 
+MADE = ("size", "source_size", "target", "copies", "taken")
+
+
 def offset(seed: str) -> Column:
     """A fraction in steps of 1/65536 from the seed and the source; reruns agree."""
     name = F.when(F.col("_missing"), F.lit("null")).otherwise(F.concat(F.lit("source "), "_source"))
@@ -66,8 +69,7 @@ def mix(
     nothing wherever they fall. Repeated rows and null keys are rows of their own; rows alike in source, size and key
     may swap copies. An empty table gives none. Input columns with the names above are replaced.
     """
-    made = {"size", "source_size", "target", "copies", "taken"}
-    mine = [c for c in docs.columns if c not in made]
+    mine = [c for c in docs.columns if c not in MADE]
     rows = docs.select(
         F.struct(*mine).alias("_row"), F.col(key).alias("_key"), F.col(source).isNull().alias("_missing"),
         F.coalesce(source, F.lit("")).alias("_source"), (F.coalesce(F.col(size), F.lit(0)).cast("long") if size else word_count(text)).alias("size"),

@@ -105,3 +105,21 @@ def test_an_empty_corpus_gives_nothing(spark, tmp_path):
 def test_entry_works_without_the_corpus_operators(tmp_path):
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 200 and not any(k.startswith('op') and k[2:3].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_stages_on_odd_rows(spark, odd, odd_rows, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and keys, and further columns with clashing names."""
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    whole = sorted(map(tuple, odd.collect()), key=repr)
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, odd, str(tmp_path)).write.parquet(f"{tmp_path}/{number}")
+        after = spark.read.parquet(f"{tmp_path}/{number}")
+        assert after.columns == odd.columns, name
+        rows = [tuple(r) for r in after.collect()]
+        if name == "suffix-array dedup":
+            assert len(rows) == len(odd_rows) and sorted(r[0] or -1 for r in rows) == sorted(r[0] or -1 for r in odd_rows)
+            assert all(r[1] is None or r[4] == len(r[1]) for r in rows)
+        else:
+            assert set(rows) <= set(whole), name
+            assert name == "mixing sources to target weights" or all(rows.count(r) <= whole.count(r) for r in set(rows))
