@@ -1,5 +1,9 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows and keys, empty tables and further columns of any
+name, and returns the columns it was given: a null or empty text is scored like any other, is linked with nothing, has no passage and
+no item, and weighs nothing in the mix.
+
 A stage may delete the intermediate tables of the stage before it, whose result must be written by then.
 """
 
@@ -49,8 +53,10 @@ def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
+    """Documents as often as the mix of sources takes them. Columns named like those of the mix keep their values."""
+    aside = {c: f"_aside_{c}" for c in docs.columns if c in mixing.MADE}
+    taken = mixing.repeat_rows(mixing.mix(docs.withColumnsRenamed(aside)))
+    return taken.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 STAGES = [
