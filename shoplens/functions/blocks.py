@@ -19,7 +19,7 @@ from shoplens.session import shared_folder
 
 BLOCK_ROWS, SMALL_BLOCK = 2048, 128
 SALT_ROWS, BROADCAST_BASKETS = 4096, 100_000
-CHUNK_BASKETS = 512
+CHUNK_BASKETS, PART_ITEMS, CELL_PAIRS = 512, 64, 1 << 14
 DIGITS = 6
 
 
@@ -212,10 +212,10 @@ def with_sizes(baskets: DataFrame, basket: str, item: str, smallest: int = 1, la
 def pair_counts(baskets: DataFrame, basket: str, item: str, light: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Baskets that contain both items, for every unordered pair a < b: (a, b, together).
 
-    ``baskets`` has distinct (basket, item) rows. Baskets of at most ``light`` items list their pairs, at most
-    light*(light-1)/2 each. Larger ones are counted as a product of item blocks over chunks of baskets, so that a
-    basket of any size is spread over many tasks and only summed counts leave them. The sized rows are read several
-    times and therefore kept in the shared folder.
+    ``baskets`` has distinct (basket, item) rows. Baskets of at most ``light`` items list their pairs in one row, at most
+    light*(light-1)/2 each. Larger ones list them by parts of the basket, in as many rows as its size asks for; from the size
+    on at which they share enough pairs, they are counted as a product of item blocks over chunks of baskets, of which only
+    summed counts leave. The sized rows are read several times and therefore kept in the shared folder.
     """
     shared_folder(baskets.sparkSession)
     return sized_pair_counts(with_sizes(baskets, basket, item, smallest=2).checkpoint(), basket, item, light, block_rows)
@@ -223,32 +223,73 @@ def pair_counts(baskets: DataFrame, basket: str, item: str, light: int = 50, blo
 
 def sized_pair_counts(sized: DataFrame, basket: str, item: str, light: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """pair_counts() of rows that carry their basket_size already; they are read several times."""
-    listed = _light_pairs(sized.where(F.col("basket_size") <= light), basket, item)
-    product = _heavy_pairs(sized.where(F.col("basket_size") > light), basket, item, block_rows)
-    return listed.unionByName(product).groupBy("a", "b").agg(F.sum("together").alias("together"))
+    once = F.lit(1).cast("long").alias("together")
+    found = _light_pairs(sized.where(F.col("basket_size") <= light), basket, item).select("a", "b", once)
+    heavy = sized.where(F.col("basket_size") > light)
+    grid = _product_grid(heavy, item, block_rows)
+    if grid is not None:
+        least, chunks, blocks = grid
+        listed = heavy if least is None else heavy.where(F.col("basket_size") < least)
+        found = found.unionByName(_part_pairs(listed, basket, item).select("a", "b", once))
+        if least is not None:
+            found = found.unionByName(_heavy_pairs(heavy.where(F.col("basket_size") >= least), basket, item, chunks, blocks))
+    return found.groupBy("a", "b").agg(F.sum("together").alias("together"))
 
 
 def listed_pairs(sized: DataFrame, basket: str, item: str, largest: int, smallest: int = 2) -> DataFrame:
     """Pair counts over baskets whose size (column basket_size) lies in [smallest, largest] only; others are ignored
     by definition."""
-    return _light_pairs(sized.where(F.col("basket_size").between(max(smallest, 2), largest)), basket, item)
+    pairs = _light_pairs(sized.where(F.col("basket_size").between(max(smallest, 2), largest)), basket, item)
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
 
 
 def _light_pairs(baskets: DataFrame, basket: str, item: str) -> DataFrame:
-    lists = baskets.groupBy(basket).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = baskets.groupBy(basket).agg(F.sort_array(F.collect_list(item)).alias("items"))
     first = lists.select(F.posexplode("items").alias("at", "a"), "items")
-    pairs = first.select("a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+    return first.select("a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("b"))
+
+
+def _part_pairs(rows: DataFrame, basket: str, item: str) -> DataFrame:
+    """The pairs of baskets of any size: items are dealt to parts of about PART_ITEMS, and any two parts of a basket meet in a row."""
+    parts = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item"), salt_count(F.col("basket_size"), PART_ITEMS).alias("parts"))
+    dealt = parts.select(
+        "basket", "item", F.pmod(F.xxhash64("item"), "parts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("opposite")
+    )
+    met = dealt.groupBy("basket", F.least("own", "opposite").alias("lp"), F.greatest("own", "opposite").alias("rp")).agg(
+        F.collect_list(F.when(F.col("own") <= F.col("opposite"), F.col("item"))).alias("left"),
+        F.collect_list(F.when(F.col("own") >= F.col("opposite"), F.col("item"))).alias("right"),
+    )
+    first = met.select((F.col("lp") == F.col("rp")).alias("same"), F.explode("left").alias("x"), "right")
+    pairs = first.select("same", "x", F.explode("right").alias("y")).where(~F.col("same") | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _product_grid(rows: DataFrame, item: str, block_rows: int) -> tuple[int | None, int, int] | None:
+    """(least basket size, chunks, blocks) of the block product, with None for the size where no cells would be filled, and None
+    without rows.
+
+    Every cell of a chunk and two blocks costs a call. The more items there are, the fewer pairs a cell holds, so only baskets
+    from the smallest power of two take part that bring CELL_PAIRS pairs to the mean cell. Reads one row per power of two.
+    """
+    size = F.col("basket_size")
+    powers = rows.select(F.floor(F.log2(size)).cast("int").alias("power"), item, size).rollup("power").agg(
+        F.sum(F.lit(1.0) / size).alias("baskets"), F.sum((size - 1) / 2).alias("pairs"), F.approx_count_distinct(item).alias("items")
+    )
+    counted = {r["power"]: r for r in powers.collect() if r["baskets"]}
+    if not counted:
+        return None
+    blocks = max(1, math.ceil(counted.pop(None)["items"] / block_rows))
+    for power in sorted(counted):
+        above = [r for p, r in counted.items() if p >= power]
+        chunks = max(1, math.ceil(round(sum(r["baskets"] for r in above), 3) / CHUNK_BASKETS))
+        if sum(r["pairs"] for r in above) >= CELL_PAIRS * chunks * blocks * (blocks + 1) / 2:
+            return 1 << power, chunks, blocks
+    return None, 1, blocks
 
 
-def _heavy_pairs(rows: DataFrame, basket: str, item: str, block_rows: int) -> DataFrame:
-    counted = rows.agg(F.countDistinct(basket).alias("baskets"), F.approx_count_distinct(item).alias("items")).first()
+def _heavy_pairs(rows: DataFrame, basket: str, item: str, chunks: int, blocks: int) -> DataFrame:
     kind = rows.schema[item].dataType.simpleString()
     schema = f"a {kind}, b {kind}, together bigint"
-    if counted["baskets"] == 0:
-        return rows.sparkSession.createDataFrame([], schema)
-    chunks = max(1, math.ceil(counted["baskets"] / CHUNK_BASKETS))
-    blocks = max(1, math.ceil(counted["items"] / block_rows))
     keyed = rows.select(
         F.pmod(F.xxhash64(basket), F.lit(chunks)).cast("int").alias("chunk"), _block(item, blocks).alias("own"),
         F.col(basket).alias("basket"), F.col(item).alias("item"), salt_count(F.col("basket_size"), SALT_ROWS).alias("salts"),

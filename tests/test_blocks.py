@@ -139,3 +139,19 @@ def test_heavy_pairs_of_a_salted_basket_and_of_text_items(spark, monkeypatch):
     assert got == dict(wanted)
     nothing = pair_counts(df.limit(0), "basket", "item")
     assert nothing.collect() == [] and nothing.schema["a"].dataType.simpleString() == "string"
+
+
+def test_sparse_baskets_are_listed_and_dense_ones_multiplied(spark, monkeypatch):
+    """Many items make as many cells as pairs: such baskets are listed, whatever their size, and no pair is lost either way."""
+    rng = random.Random(5)
+    rows = sorted({(b, rng.randrange(4000)) for b in range(12) for _ in range(70)} | {(20, i) for i in range(300)} | {(21, i) for i in range(0, 600, 2)})
+    df = spark.createDataFrame(rows, "basket long, item long")
+    wanted, product = count_pairs(rows), blocks._heavy_pairs
+    multiplied = []
+    monkeypatch.setattr(blocks, "_heavy_pairs", lambda rows, *a: multiplied.append(rows.agg(F.min("basket_size")).first()[0]) or product(rows, *a))
+    for cell, least in ((blocks.CELL_PAIRS, []), (0, [50])):
+        monkeypatch.setattr(blocks, "CELL_PAIRS", cell)
+        got = {(r.a, r.b): r.together for r in pair_counts(df, "basket", "item", light=5, block_rows=16).collect()}
+        assert got == wanted
+        assert all(m >= x for m, x in zip(multiplied, least)) and len(multiplied) == len(least), (cell, multiplied)
+        multiplied.clear()
