@@ -151,7 +151,7 @@ def test_sparse_baskets_are_listed_and_dense_ones_multiplied(spark, monkeypatch)
     monkeypatch.setattr(blocks, "_heavy_pairs", lambda rows, *a: multiplied.append(rows.agg(F.min("basket_size")).first()[0]) or product(rows, *a))
     for cell, least in ((blocks.CELL_PAIRS, []), (0, [50])):
         monkeypatch.setattr(blocks, "CELL_PAIRS", cell)
-        got = {(r.a, r.b): r.together for r in pair_counts(df, "basket", "item", light=5, block_rows=16).collect()}
+        got = {(r.a, r.b): r.together for r in pair_counts(df, "basket", "item", light=5, block_rows=256).collect()}
         assert got == wanted
         assert all(m >= x for m, x in zip(multiplied, least)) and len(multiplied) == len(least), (cell, multiplied)
         multiplied.clear()

@@ -88,3 +88,15 @@ def test_cold_start_falls_back_to_the_whole_shop(spark):
     for r in sorted(got, key=lambda r: r["rank"]):
         lists.setdefault(r.user_id, []).append(r.product_id)
     assert lists == {1: [11, 10], 2: [12, 11]}
+
+
+def test_the_trainer_keeps_one_iteration_of_shuffle_files(spark, small, monkeypatch):
+    import pyspark.ml.recommendation as R
+
+    intervals, fit = [], R.ALS.fit
+    monkeypatch.setattr(R.ALS, "fit", lambda self, df: intervals.append(self.getCheckpointInterval()) or fit(self, df))
+    centred = M.centre(M.rating_matrix(Shop(spark, small).interactions))
+    M.train_als(centred, rank=2, iterations=2)
+    assert intervals == [1]
+    for df in (centred.residual, centred.users, centred.items, centred.mean):  # the tables are not read again
+        assert "parquet" not in df._jdf.queryExecution().toString()
