@@ -100,3 +100,12 @@ def test_the_trainer_keeps_one_iteration_of_shuffle_files(spark, small, monkeypa
     assert intervals == [1]
     for df in (centred.residual, centred.users, centred.items, centred.mean):  # the tables are not read again
         assert "parquet" not in df._jdf.queryExecution().toString()
+
+
+def test_training_partitions_are_bounded(spark, small, monkeypatch):
+    """Files of many alike rows are small, and were packed into one task whatever their rows."""
+    monkeypatch.setattr(models, "TASK_ROWS", 500)
+    monkeypatch.setattr(models, "_KEPT", {})
+    shop = Shop(spark, small)
+    rows = models.training_table(shop, models.file_by_file(spark)).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in rows) <= 500 and sum(r["count"] for r in rows) == 3 * shop.interactions.count()
