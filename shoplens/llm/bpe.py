@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.common import ODD, byte_slices
 
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
+WORK_BYTES = 1 << 18
 LONG = 256
 FIRST = 0xE000  # symbol n is the character FIRST + n; there are no surrogates from there on
 # Letters and numbers that Unicode has had since version 17, later than the library that the ranks belong to.
@@ -179,8 +180,20 @@ class Substrings:
         self.seen = np.zeros(1 << 22, bool)  # a first look at 22 bits spares most searches
         self.seen[self.hashes >> np.uint64(42)] = True
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Borders and ranks: every word's ranks, each once, lowest first."""
+    def of(self, words: list[bytes], work_bytes: int = WORK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """Borders and ranks: every word's ranks, each once, lowest first. Words are looked at in parts of about ``work_bytes``,
+        as the work arrays have some hundred bytes per byte."""
+        part = np.cumsum([len(w) for w in words], dtype=np.int64) // work_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+        borders, ranks, total = [np.zeros(1, np.int32)], [np.zeros(0, np.int32)], 0
+        for start, stop in zip(cuts, cuts[1:]):
+            border, rank = self._of(words[start:stop])
+            borders.append((border[1:] + total).astype(np.int32))
+            ranks.append(rank.astype(np.int32))
+            total += len(rank)
+        return np.concatenate(borders), np.concatenate(ranks)
+
+    def _of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.repeat(np.cumsum(sizes), sizes)

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -83,6 +85,24 @@ def test_every_piece_merges_from_its_two_parts(library):
         assert bpe.heap_merged(piece * 3, ranks) == library._core_bpe.encode_single_piece(piece * 3)
 
 
+def test_ranked_substrings_in_bounded_memory():
+    """Work arrays hold a part of the words, so 2 MB of distinct words take little more than their ranks."""
+    substrings = bpe.Substrings(bpe.read_ranks(PATH))
+    rng = random.Random(8)
+    few = [b"", *("".join(rng.choices("etaoinshrdlu \u00e9", k=rng.randint(1, 30))).encode() for _ in range(2000)), b""]
+    for words in ([], [b""], few):
+        (borders, ranks), (whole_borders, whole_ranks) = substrings.of(words, 700), substrings.of(words, 1 << 40)
+        assert np.array_equal(borders, whole_borders) and np.array_equal(ranks, whole_ranks) and len(borders) == len(words) + 1
+    alone = [substrings.of([word])[1].tolist() for word in few]
+    assert [ranks[a:b].tolist() for a, b in zip(borders, borders[1:])] == alone
+    many = ["".join(rng.choices("qxzjkvw", k=20)).encode() for _ in range(100_000)]
+    tracemalloc.start()
+    substrings.of(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_query_on_its_table(spark, library):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
