@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.ordered import dense_index
 from shoplens.functions.scalars import dot, norm
 from shoplens.session import shared_folder
+from shoplens.sources.sinks import keep, remove
 
 # fixed values: the trainer's defaults
 RANK, ITERATIONS, REGULARISATION, SEED = 100, 20, 0.1, 42
@@ -106,25 +107,40 @@ def bias_losses(matrix: DataFrame, penalties: Mapping[str, float], sweeps: int)
 
     Step 0 has the overall mean alone. Every further step fits one side to what the other leaves: the sum of a row's residuals
     over their count plus the penalty. The loss is the mean squared error over all non-zero entries.
+
+    The entries are written once, and a step is one pass over them, whose shuffle files go with it: count, sum and sum of squares
+    of a user's or item's residuals give its bias and its squared error. One row of losses per step reaches the driver.
     """
-    rated = matrix.where(F.col("value") != 0)
-    overall = rated.agg(F.avg("value").alias("m")).scalar()
+    spark = matrix.sparkSession
+    rated, folder = keep(matrix.where(F.col("value") != 0).select("user_id", "product_id", "value"), "ratings")
+    overall = F.lit(rated.agg(F.avg("value")).first()[0]).cast("double")
     rows = rated.select("user_id", "product_id", (F.col("value") - overall).alias("centred"))
-    sides = {"user_id": {run: F.lit(0.0) for run in penalties}, "product_id": {run: F.lit(0.0) for run in penalties}}
-    losses, biases = [], {}
-    for step in range(sweeps + 1):
-        current = rows
-        for key, table in biases.items():
-            current = current.join(table, key)
-        error = {run: F.col("centred") - sides["user_id"][run] - sides["product_id"][run] for run in penalties}
-        entries = F.array(*[F.struct(F.lit(run).alias("run"), F.avg(error[run] * error[run]).alias("loss")) for run in penalties])
-        losses.append(current.agg(entries.alias("e")).select(F.explode("e").alias("e")).select("e.run", F.lit(step).alias("step"), "e.loss"))
-        if step < sweeps:
-            key, other = ("user_id", "product_id") if step % 2 == 0 else ("product_id", "user_id")
-            fitted = [(F.sum(F.col("centred") - sides[other][run]) / (F.count(F.lit(1)) + F.lit(float(penalty)))).alias(f"{key}_{run}") for run, penalty in penalties.items()]
-            biases[key] = current.groupBy(key).agg(*fitted).checkpoint()
-            sides[key] = {run: F.col(f"{key}_{run}") for run in penalties}
-    return reduce(DataFrame.unionByName, losses)
+    start = rows.agg(F.avg(F.col("centred") * F.col("centred"))).first()[0]
+    losses, biases, folders = [(run, 0, start) for run in penalties], {}, {}
+    for step in range(sweeps):
+        key, other = ("user_id", "product_id") if step % 2 == 0 else ("product_id", "user_id")
+        current = rows.join(biases[other], other) if other in biases else rows
+        error = {run: F.col("centred") - F.col(f"{other}_{run}") if other in biases else F.col("centred") for run in penalties}
+        sums = current.groupBy(key).agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.sum(e).alias(f"sum_{run}") for run, e in error.items()], *[F.sum(e * e).alias(f"squares_{run}") for run, e in error.items()],
+        )
+        fitted = {run: F.col(f"sum_{run}") / (F.col("n") + F.lit(float(penalty))) for run, penalty in penalties.items()}
+        left = {run: F.col(f"squares_{run}") - F.lit(2.0) * b * F.col(f"sum_{run}") + F.col("n") * b * b for run, b in fitted.items()}
+        side, path = keep(
+            sums.where(F.col(key).isNotNull()).select(
+                key, "n", *[b.alias(f"{key}_{run}") for run, b in fitted.items()], *[F.greatest(e, F.lit(0.0)).alias(f"left_{run}") for run, e in left.items()]
+            ),
+            "biases",
+        )
+        found = side.agg(*[(F.sum(f"left_{run}") / F.sum("n")).alias(run) for run in penalties]).first()
+        losses += [(run, step + 1, found[run]) for run in penalties]
+        if key in folders:
+            remove(spark, folders[key])
+        biases[key], folders[key] = side.drop("n", *[f"left_{run}" for run in penalties]), path
+    for path in (folder, *folders.values()):
+        remove(spark, path)
+    return spark.createDataFrame(losses, "run string, step int, loss double")
 
 
 def bias_terms(matrix: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

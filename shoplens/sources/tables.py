@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 
 from shoplens import schemas
 from shoplens.functions.scalars import lookup
+from shoplens.session import free_shuffles
 
 # fixed values of the canonical mapping
 SEGMENT_CATEGORY = {
@@ -92,6 +93,7 @@ class Shop:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        free_shuffles(spark)
 
     def table(self, name: str) -> DataFrame:
         return read_parquet(self.spark, f"{self.folder}/{name}.parquet", schemas.SUPPLIED.get(name))
