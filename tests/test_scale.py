@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shoplens.operators import alternating as A
 from shoplens.operators import factors as M
 from shoplens.session import shared_folder
 from shoplens.sources.tables import Shop
@@ -56,3 +57,48 @@ def test_shuffle_files_go_with_their_query(spark, small):
     before = count()
     assert M.rating_matrix(shop.interactions).agg(F.count("*")).first()[0] > 0
     assert count() <= before
+
+
+def plain_als(rows, n_users, n_items, rank, iterations, penalty, seed):
+    """Normal equations row by row, from the same start."""
+    users, items = A._random(np.arange(n_users, dtype=np.uint64), rank, seed).astype(float), np.zeros((n_items, rank))
+    for _ in range(iterations):
+        for mine, theirs, own, other in ((items, users, 1, 0), (users, items, 0, 1)):
+            for row in range(len(mine)):
+                some = [r for r in rows if r[own] == row]
+                a, b = theirs[[r[other] for r in some]], np.array([r[2] for r in some])
+                mine[row] = np.linalg.solve(a.T @ a + penalty * len(some) * np.eye(rank), a.T @ b).astype(np.float32)
+    return users, items
+
+
+def test_blocked_factors_solve_the_normal_equations(spark, monkeypatch):
+    """Rows with fewer ratings than the rank, with more, and with many, over several blocks; each block gets only rows it needs."""
+    rng = np.random.default_rng(8)
+    rows = [(u, i, float(np.float32(rng.normal()))) for u in range(23) for i in range(17) if i == 3 or u == 4 or (u * 7 + i * 5) % 11 < 3]
+    residual = spark.createDataFrame(rows, "user_no int, item_no int, residual double")
+    monkeypatch.setattr(A, "FACTOR_BYTES", 4 * 6 * 8)
+    monkeypatch.setattr(A, "CHUNK", 60)
+    blocks = []
+    monkeypatch.setattr(A, "block_number", lambda *a, f=A.block_number: blocks.append(f(*a)) or blocks[-1])
+    found = A.alternate(residual, len(rows), 23, 17, 6, 3, 0.1, 5)
+    users, items = plain_als(rows, 23, 17, 6, 3, 0.1, 5)
+    assert min(blocks) > 1
+    for df, plain in ((found.userFactors, users), (found.itemFactors, items)):
+        got = {r.id: r.features for r in df.collect()}
+        assert sorted(got) == list(range(len(plain)))
+        assert np.allclose([got[n] for n in range(len(plain))], plain, atol=1e-4)
+    error = found.errors.agg(F.sum("squares"), F.sum("ratings")).first()
+    assert error[1] == len(rows) and error[0] == pytest.approx(sum((v - users[u] @ items[i]) ** 2 for u, i, v in rows), abs=1e-3)
+
+
+def test_blocks_follow_memory_and_large_ranks_are_solved_in_blocks(spark, small):
+    assert A.block_number(600_000, 20_000, 100, 8) == 8  # all factors fit: as many as run at once
+    for ratings, others, rank in ((36_000_000, 1_200_000, 100), (216_000_000, 7_200_000, 50)):
+        blocks = A.block_number(ratings, others, rank, 12)
+        met = others * (1 - np.exp(-ratings / blocks / others))
+        assert blocks % 12 == 0 and met * rank * 4 <= A.FACTOR_BYTES
+    centred = M.centre(M.rating_matrix(Shop(spark, small).interactions))
+    model = M.train_als(centred, rank=60, iterations=2)
+    assert isinstance(model, A.Factors)
+    errors = M.fit_errors(centred, model).first()
+    assert errors.rmse < errors.plain_rmse
