@@ -1,33 +1,39 @@
 """Products of large relations in blocks.
 
-Scoring every row of one vector relation against every row of another is a matrix product. Rows are hashed into
-blocks of bounded size, each block is sent once to every block of the other side, and a task multiplies two blocks
-with NumPy and keeps only what the query needs: the best k per row, or a few totals. No pair leaves a task unless it
-is a result candidate, and a group never holds more than two blocks.
+Scoring every row of one vector relation against every row of another is a matrix product. Left rows are hashed into blocks of
+bounded size; a task holds one block, reads the right rows as they come, multiplies tile by tile with NumPy and keeps only what the
+query needs: the best k per row so far, or a few totals. No pair leaves a task unless it is a result candidate. Only where there are
+fewer blocks than the cluster runs at once is the right side cut into chunks too, whose candidates are ranked once more.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.session import shared_folder
 
-BLOCK_ROWS, SMALL_BLOCK = 2048, 128
+BLOCK_ROWS, LEFT_ROWS, SMALL_BLOCK = 2048, 1 << 14, 128
+TILE_LEFT, TILE_RIGHT = 1024, 2048
 SALT_ROWS, BROADCAST_BASKETS = 4096, 100_000
 CHUNK_BASKETS, PART_ITEMS, CELL_PAIRS = 512, 64, 1 << 14
 DIGITS = 6
 
 
-def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
-    """Blocks of at most about ``rows`` rows, and enough of them that a grid of blocks occupies the whole cluster."""
-    n = df.count()
-    side = math.ceil(math.sqrt(df.sparkSession.sparkContext.defaultParallelism))
-    return max(1, math.ceil(n / rows), min(side, math.ceil(n / SMALL_BLOCK)))
+def grid(left: DataFrame, right: DataFrame, block_rows: int) -> tuple[int, int]:
+    """Blocks of the left side, of at most about ``block_rows`` rows, and chunks of the right side: of both no more than it takes
+    to bound a block and to occupy the cluster, since every row of one side is copied for each of the other's."""
+    slots, n, m = left.sparkSession.sparkContext.defaultParallelism, left.count(), right.count()
+    small = min(SMALL_BLOCK, block_rows)
+    blocks = max(1, math.ceil(n / block_rows), min(slots, math.ceil(n / small)))
+    return blocks, max(1, min(math.ceil(slots / blocks), math.ceil(m / small)))
 
 
 def _block(key: str, blocks: int):
@@ -38,50 +44,93 @@ def _copies(blocks: int):
     return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
 
-def _cells(left: DataFrame, right: DataFrame, skip: DataFrame | None, n_left: int, n_right: int) -> DataFrame:
-    """Rows of both sides (and pairs to skip) keyed by grid cell (lb, rb)."""
-    rows_left = left.select(_block("id", n_left).alias("lb"), _copies(n_right).alias("rb"), "id", "vector").select(
-        "lb", "rb", F.lit(0).alias("part"), "id", F.lit(None).cast("long").alias("other"), "vector"
-    )
-    rows_right = right.select(_copies(n_left).alias("lb"), _block("id", n_right).alias("rb"), "id", "vector").select(
-        "lb", "rb", F.lit(1).alias("part"), "id", F.lit(None).cast("long").alias("other"), "vector"
-    )
-    cells = rows_left.unionByName(rows_right)
+def _cells(left: DataFrame, right: DataFrame, skip: DataFrame | None, blocks: int, chunks: int) -> DataFrame:
+    """A partition per cell of the grid: the rows of its left block, pairs to skip by their right row, then its right chunk by id."""
+    none = F.lit(None).cast("long").alias("other")
+    parts = [
+        left.select(_block("id", blocks).alias("block"), _copies(chunks).alias("chunk"), F.lit(0).alias("part"), "id", none, "vector"),
+        right.select(_copies(blocks).alias("block"), _block("id", chunks).alias("chunk"), F.lit(2).alias("part"), "id", none, "vector"),
+    ]
     if skip is not None:
-        empty = F.lit(None).cast(left.schema["vector"].dataType)
-        cells = cells.unionByName(
-            skip.select("id", "other").distinct().select(
-                _block("id", n_left).alias("lb"), _block("other", n_right).alias("rb"), F.lit(2).alias("part"),
-                "id", "other", empty.alias("vector"),
-            )
-        )
-    return cells
-
-
-def _scores(pdf: pd.DataFrame, cosine: bool, skip_self: bool):
-    """Row ids, column ids (ascending) and the score matrix of a cell; skipped pairs are NaN."""
-    left = pdf[pdf.part == 0]
-    right = pdf[pdf.part == 1].sort_values("id")
-    if left.empty or right.empty:
-        return None
-    a = np.stack(left.vector.to_numpy()).astype(np.float64)
-    b = np.stack(right.vector.to_numpy()).astype(np.float64)
+        empty = F.lit(None).cast(left.schema["vector"].dataType).alias("vector")
+        pairs = skip.select("id", "other").distinct()
+        parts.append(pairs.select(_block("id", blocks).alias("block"), _block("other", chunks).alias("chunk"), F.lit(1).alias("part"), F.col("other").alias("id"), F.col("id").alias("other"), empty))
+    rows = reduce(DataFrame.unionByName, parts).withColumn("cell", F.col("block") * chunks + F.col("chunk"))
+    return rows.repartitionById(blocks * chunks, "cell").sortWithinPartitions("part", "id").select("part", "id", "other", "vector")
+
+
+def _matrix(vectors: pa.ListArray, cosine: bool) -> np.ndarray:
+    """The vectors as rows, scaled to length 1 for cosines (a zero vector stays)."""
+    if vectors.null_count or len(np.unique(np.diff(vectors.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors must all be there and have one length")
+    out = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     if cosine:
-        for m in (a, b):
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            length[length == 0] = 1.0
-            m /= length
-    scores = np.round(a @ b.T, DIGITS) + 0.0
-    left_ids, right_ids = left.id.to_numpy(), right.id.to_numpy()
-    if skip_self:
-        scores[left_ids[:, None] == right_ids[None, :]] = np.nan
-    skip = pdf[pdf.part == 2]
-    if not skip.empty:
-        rows = pd.Index(left_ids).get_indexer(skip.id.to_numpy())
-        cols = pd.Index(right_ids).get_indexer(skip.other.astype("int64").to_numpy())
-        known = (rows >= 0) & (cols >= 0)
-        scores[rows[known], cols[known]] = np.nan
-    return left_ids, right_ids, scores
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        length[length == 0] = 1.0
+        out /= length
+    return out
+
+
+class _Cell:
+    """The left rows of a cell, in order of id, and what it must skip; tiles() walks the right rows as they come."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], cosine: bool, skip_self: bool):
+        self.batches, self.cosine, self.skip_self = batches, cosine, skip_self
+        self.ids, self.left = np.zeros(0, np.int64), None
+
+    def parts(self) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in self.batches:
+            part = batch["part"].to_numpy()
+            borders = np.searchsorted(part, [0, 1, 2, 3])
+            for p in range(3):
+                if borders[p] < borders[p + 1]:
+                    yield p, batch.slice(borders[p], borders[p + 1] - borders[p])
+
+    def tiles(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First left row, right ids, scores before rounding, and the places in them that don't count. Left rows without any
+        right row bring no tile."""
+        left, skips = ([], []), ([], [])
+        for part, batch in self.parts():
+            ids = batch["id"].to_numpy()
+            if part == 0:
+                left[0].append(ids)
+                left[1].append(_matrix(batch["vector"], self.cosine))
+            elif part == 1:
+                skips[0].append(ids)
+                skips[1].append(batch["other"].to_numpy())
+            elif left[0]:
+                if self.left is None:
+                    self.ids, self.left = np.concatenate(left[0]), np.concatenate(left[1])
+                    self.skip_right, self.skip_left = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in skips)
+                right = _matrix(batch["vector"], self.cosine)
+                for j in range(0, len(ids), TILE_RIGHT):
+                    yield from self._column(ids[j : j + TILE_RIGHT], right[j : j + TILE_RIGHT])
+
+    def _column(self, ids: np.ndarray, right: np.ndarray):
+        rows, columns = self._skipped(ids)
+        for i in range(0, len(self.ids), TILE_LEFT):
+            scores = self.left[i : i + TILE_LEFT] @ right.T
+            here = (rows >= i) & (rows < i + TILE_LEFT)
+            yield i, ids, scores, rows[here] - i, columns[here]
+
+    def _skipped(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (left row, column) that don't count, every combination where ids repeat."""
+        a, b = np.searchsorted(self.skip_right, [ids[0], ids[-1] + 1])
+        who, what = self.skip_left[a:b], self.skip_right[a:b]
+        if self.skip_self:
+            who, what = np.concatenate([who, ids]), np.concatenate([what, ids])
+        first, last = np.searchsorted(self.ids, who), np.searchsorted(self.ids, who, "right")
+        who, what = _spread(first, last, what)
+        first, last = np.searchsorted(ids, what), np.searchsorted(ids, what, "right")
+        columns, rows = _spread(first, last, who)
+        return rows, columns
+
+
+def _spread(first: np.ndarray, last: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from ``first`` to below ``last``, each beside its value."""
+    n = last - first
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(first, n) + inside, np.repeat(value, n)
 
 
 def best_matches(
@@ -91,7 +140,7 @@ def best_matches(
     cosine: bool = False,
     skip_self: bool = False,
     skip: DataFrame | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = LEFT_ROWS,
 ) -> DataFrame:
     """The k highest-scoring right rows of every left row: (id, other, score, rank).
 
@@ -101,7 +150,7 @@ def best_matches(
     return rank_rows(_cell_matches(left, right, k, cosine, skip_self, skip, block_rows, False), "id", "other", k)
 
 
-def matches_and_range(left: DataFrame, right: DataFrame, k: int, cosine: bool = False, skip_self: bool = False, block_rows: int = BLOCK_ROWS):
+def matches_and_range(left: DataFrame, right: DataFrame, k: int, cosine: bool = False, skip_self: bool = False, block_rows: int = LEFT_ROWS):
     """best_matches() and the (low, high) of all scores from one pass over the cells, whose rows are kept for both."""
     shared_folder(left.sparkSession)
     partial = _cell_matches(left, right, k, cosine, skip_self, None, block_rows, True).checkpoint()
@@ -111,28 +160,65 @@ def matches_and_range(left: DataFrame, right: DataFrame, k: int, cosine: bool =
 
 def _cell_matches(left: DataFrame, right: DataFrame, k: int, cosine: bool, skip_self: bool, skip: DataFrame | None, block_rows: int, lowest: bool) -> DataFrame:
     """The best k of each row within each cell, and with ``lowest`` a row without ``other`` for each cell's least score."""
-    n_left, n_right = block_count(left, block_rows), block_count(right, block_rows)
+    blocks, chunks = grid(left, right, block_rows)
     if skip is not None:  # only pairs whose two sides are there matter
         skip = skip.select("id", "other").join(left.select("id"), "id", "left_semi").join(
             right.select(F.col("id").alias("other")), "other", "left_semi"
         )
 
-    def cell_best(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _scores(pdf, cosine, skip_self)
-        if found is None:
-            return pd.DataFrame({"id": [], "other": [], "score": []}).astype({"id": "int64", "other": "int64"})
-        left_ids, right_ids, scores = found
-        ranked = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(scores, ranked, axis=1)
-        out = pd.DataFrame(
-            {"id": np.repeat(left_ids, ranked.shape[1]), "other": right_ids[ranked].ravel(), "score": top.ravel()}
-        )
-        out = out.dropna(subset=["score"])
-        if lowest and len(out):
-            out = pd.concat([out.astype({"other": "Int64"}), pd.DataFrame({"id": left_ids[:1], "other": pd.array([None], "Int64"), "score": [np.nanmin(scores)]})])
-        return out
-
-    return _cells(left, right, skip, n_left, n_right).groupBy("lb", "rb").applyInPandas(cell_best, "id long, other long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, best, least = _Cell(batches, cosine, skip_self), None, np.inf
+        for i, ids, scores, rows, columns in cell.tiles():
+            if best is None:
+                best = _Best(len(cell.ids), k)
+            if lowest:
+                scores[rows, columns] = np.nan
+                least = min(least, np.nanmin(scores, initial=np.inf))
+            scores[rows, columns] = -np.inf
+            best.take(i, ids, scores)
+        if best is None:
+            return
+        for i in range(0, len(cell.ids), TILE_LEFT):
+            score, other = best.score[i : i + TILE_LEFT], best.other[i : i + TILE_LEFT]
+            found = score > -np.inf
+            values = [np.repeat(cell.ids[i : i + TILE_LEFT], found.sum(axis=1)), other[found], score[found]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["id", "other", "score"])
+        if least < np.inf:
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ids[:1]), pa.array([None], pa.int64()), pa.array([np.round(least, DIGITS) + 0.0])], names=["id", "other", "score"])
+
+    return _cells(left, right, skip, blocks, chunks).mapInArrow(run, "id long, other long, score double")
+
+
+class _Best:
+    """The best k of every left row so far: rounded scores falling, of equal ones the smaller id first. Right ids never fall, so a
+    score that only equals a row's last one comes too late."""
+
+    def __init__(self, rows: int, k: int):
+        self.k, self.score, self.other = k, np.full((rows, k), -np.inf), np.zeros((rows, k), np.int64)
+
+    def take(self, start: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        at, n = slice(start, start + len(scores)), scores.shape[1]
+        last = self.score[at, -1]
+        least = last
+        if n > self.k and (last == -np.inf).any():  # many would do: only those above the k-th of the tile can stay
+            scores[np.isnan(scores)] = -np.inf
+            least = np.maximum(last, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
+        row, column = np.nonzero(scores >= (least - 10.0**-DIGITS)[:, None])
+        value = np.round(scores[row, column], DIGITS) + 0.0
+        good = value > last[row]
+        row, column, value = row[good], column[good], value[good]
+        if not len(row):
+            return
+        touched, own = np.unique(row, return_inverse=True)
+        here = start + touched
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), own])
+        value = np.concatenate([self.score[here].ravel(), value])
+        other = np.concatenate([self.other[here].ravel(), ids[column]])
+        order = np.lexsort((-value, row))  # stable: what is there already, and smaller ids, first
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(touched)))[row]
+        order = order[place < self.k]
+        self.score[here], self.other[here] = value[order].reshape(-1, self.k), other[order].reshape(-1, self.k)
 
 
 def rank_rows(scored: DataFrame, key: str, other: str, k: int, score: str = "score") -> DataFrame:
@@ -143,34 +229,29 @@ def rank_rows(scored: DataFrame, key: str, other: str, k: int, score: str = "sco
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def score_totals(left: DataFrame, right: DataFrame, cosine: bool, skip_self: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def score_totals(left: DataFrame, right: DataFrame, cosine: bool, skip_self: bool, block_rows: int = LEFT_ROWS) -> DataFrame:
     """Per left row over all right rows: pairs, sum, min, max and number of non-zero scores, without emitting pairs."""
-    n_left, n_right = block_count(left, block_rows), block_count(right, block_rows)
-
-    def cell_totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _scores(pdf, cosine, skip_self)
-        columns = ["id", "pairs", "total", "low", "high", "nonzero"]
-        if found is None:
-            return pd.DataFrame(columns=columns)
-        left_ids, _, scores = found
-        seen = ~np.isnan(scores)
-        filled = np.where(seen, scores, 0.0)
-        return pd.DataFrame(
-            {
-                "id": left_ids,
-                "pairs": seen.sum(axis=1),
-                "total": filled.sum(axis=1),
-                "low": np.where(seen, scores, np.inf).min(axis=1),
-                "high": np.where(seen, scores, -np.inf).max(axis=1),
-                "nonzero": (filled != 0).sum(axis=1),
-            }
-        )
-
-    partial = (
-        _cells(left, right, None, n_left, n_right)
-        .groupBy("lb", "rb")
-        .applyInPandas(cell_totals, "id long, pairs long, total double, low double, high double, nonzero long")
-    )
+    blocks, chunks = grid(left, right, block_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, found = _Cell(batches, cosine, skip_self), None
+        for i, _, scores, rows, columns in cell.tiles():
+            if found is None:
+                n = len(cell.ids)
+                found = [np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)]
+            scores[rows, columns] = np.nan
+            scores = np.round(scores, DIGITS) + 0.0
+            seen, at = ~np.isnan(scores), slice(i, i + len(scores))
+            filled = np.where(seen, scores, 0.0)
+            found[0][at] += seen.sum(axis=1)
+            found[1][at] += filled.sum(axis=1)
+            found[2][at] = np.minimum(found[2][at], np.where(seen, scores, np.inf).min(axis=1))
+            found[3][at] = np.maximum(found[3][at], np.where(seen, scores, -np.inf).max(axis=1))
+            found[4][at] += (filled != 0).sum(axis=1)
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cell.ids, *found)], names=["id", "pairs", "total", "low", "high", "nonzero"])
+
+    partial = _cells(left, right, None, blocks, chunks).mapInArrow(run, "id long, pairs long, total double, low double, high double, nonzero long")
     return partial.groupBy("id").agg(
         F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.min("low").alias("low"),
         F.max("high").alias("high"), F.sum("nonzero").alias("nonzero"),

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shoplens.functions import blocks
 from shoplens.operators import alternating as A
 from shoplens.operators import factors as M
 from shoplens.session import shared_folder
@@ -78,11 +79,11 @@ def test_blocked_factors_solve_the_normal_equations(spark, monkeypatch):
     residual = spark.createDataFrame(rows, "user_no int, item_no int, residual double")
     monkeypatch.setattr(A, "FACTOR_BYTES", 4 * 6 * 8)
     monkeypatch.setattr(A, "CHUNK", 60)
-    blocks = []
-    monkeypatch.setattr(A, "block_number", lambda *a, f=A.block_number: blocks.append(f(*a)) or blocks[-1])
+    numbers = []
+    monkeypatch.setattr(A, "block_number", lambda *a, f=A.block_number: numbers.append(f(*a)) or numbers[-1])
     found = A.alternate(residual, len(rows), 23, 17, 6, 3, 0.1, 5)
     users, items = plain_als(rows, 23, 17, 6, 3, 0.1, 5)
-    assert min(blocks) > 1
+    assert min(numbers) > 1
     for df, plain in ((found.userFactors, users), (found.itemFactors, items)):
         got = {r.id: r.features for r in df.collect()}
         assert sorted(got) == list(range(len(plain)))
@@ -94,11 +95,43 @@ def test_blocked_factors_solve_the_normal_equations(spark, monkeypatch):
 def test_blocks_follow_memory_and_large_ranks_are_solved_in_blocks(spark, small):
     assert A.block_number(600_000, 20_000, 100, 8) == 8  # all factors fit: as many as run at once
     for ratings, others, rank in ((36_000_000, 1_200_000, 100), (216_000_000, 7_200_000, 50)):
-        blocks = A.block_number(ratings, others, rank, 12)
-        met = others * (1 - np.exp(-ratings / blocks / others))
-        assert blocks % 12 == 0 and met * rank * 4 <= A.FACTOR_BYTES
+        number = A.block_number(ratings, others, rank, 12)
+        met = others * (1 - np.exp(-ratings / number / others))
+        assert number % 12 == 0 and met * rank * 4 <= A.FACTOR_BYTES
     centred = M.centre(M.rating_matrix(Shop(spark, small).interactions))
     model = M.train_als(centred, rank=60, iterations=2)
     assert isinstance(model, A.Factors)
     errors = M.fit_errors(centred, model).first()
     assert errors.rmse < errors.plain_rmse
+
+
+def test_products_copy_rows_for_large_blocks_only(spark):
+    """Half a million vectors were copied to 245 blocks on either side, and each block kept k rows per vector."""
+    rows = spark.range(500_000)
+    slots = spark.sparkContext.defaultParallelism
+    assert blocks.grid(rows, rows, blocks.LEFT_ROWS) == (max(31, slots), 1)
+    few = spark.range(300)
+    n, chunks = blocks.grid(few, rows, blocks.LEFT_ROWS)
+    assert n * chunks >= slots and n <= 3
+
+
+def test_best_rows_over_many_tiles_with_ties_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    right = [(int(i) // 2, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(4500)]
+    left = [(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in (1, 2, 2, 9, 40)] + [(7, [0.0] * 4)]
+    schema = "id long, vector array<double>"
+    skip = spark.createDataFrame([(1, 5), (1, 2000), (2, 17), (2, None), (3, 4)], "id long, other long")
+    got = defaultdict(list)
+    for r in blocks.best_matches(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 7, skip=skip, skip_self=True).collect():
+        got[r.id].append((r["rank"], -r.score, r.other))
+    not_wanted = {(1, 5), (1, 2000), (2, 17)}
+    for key in {i for i, _ in left}:
+        scored = sorted((-float(np.dot(a, b)), j) for i, a in left if i == key for j, b in right if j != i and (i, j) not in not_wanted)
+        assert sorted(got[key]) == [(n + 1, *pair) for n, pair in enumerate(scored[:7])]
+
+
+def test_vectors_that_are_missing_or_of_another_length_are_refused(spark):
+    for bad in (None, [1.0]):
+        df = spark.createDataFrame([(1, [1.0, 0.0]), (2, bad)], "id long, vector array<double>")
+        with pytest.raises(Exception, match="one length"):
+            blocks.best_matches(df, df, 1).collect()
