@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from shoplens.functions import blocks
 from shoplens.operators import alternating as A
 from shoplens.operators import factors as M
+from shoplens.operators import pairfeatures as P
+from shoplens.operators import ranker
+from shoplens.plans.pairs import pair_features
 from shoplens.session import shared_folder
 from shoplens.sources.tables import Shop
 
@@ -135,3 +138,42 @@ def test_vectors_that_are_missing_or_of_another_length_are_refused(spark):
         df = spark.createDataFrame([(1, [1.0, 0.0]), (2, bad)], "id long, vector array<double>")
         with pytest.raises(Exception, match="one length"):
             blocks.best_matches(df, df, 1).collect()
+
+
+def test_negatives_keep_their_draws_only_and_cut_by_number(spark, small):
+    interactions = Shop(spark, small).interactions
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = P.negatives(interactions)
+    assert [f.split("-")[0] for f in set(os.listdir(folder)) - before] == ["draws"]
+    assert found.count() == 2 * interactions.count() and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    numbers = [3, 9, 10, 11, 4000, 5000, 5001, 9999]
+    df = spark.createDataFrame([(n,) for n in reversed(numbers)], "draw long")
+    for wanted in range(9):
+        assert sorted(r.draw for r in P._first(df, "draw", wanted, 10_000).collect()) == numbers[:wanted]
+
+
+def test_pairs_are_joined_once_per_side(spark, small):
+    """Every join of the pairs shuffles all of them with the features they carry so far; there were four."""
+    pairs = spark.range(123).select(F.col("id").alias("user_id"), F.col("id").alias("product_id"))
+    plan = pair_features(Shop(spark, small), pairs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    indent = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "Range (0, 123" in line)
+    depth, joins = indent(plan[at]), 0
+    for line in reversed(plan[:at]):
+        if indent(line) < depth:
+            depth, joins = indent(line), joins + ("Join LeftOuter" in line)
+    assert joins == 2
+
+
+def test_stored_samples_are_read_where_they_are(spark, small, tmp_path):
+    shop, written = Shop(spark, small), []
+    table = pair_features(shop, P.training_samples(shop.interactions))
+    table.write.parquet(str(tmp_path / "t"))
+    stored, kept = spark.read.parquet(str(tmp_path / "t")), type(table).checkpoint
+    type(table).checkpoint = lambda self, *a: written.append(1) or kept(self, *a)
+    try:
+        model = ranker.train(stored, trees=2, depth=3, stored=True)
+    finally:
+        type(table).checkpoint = kept
+    assert not written and model.getNumTrees >= 1
